@@ -1,0 +1,48 @@
+"""What operators need from the session: the shared folder and bounded Arrow batches."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+ARROW_BYTES = 16 << 20
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's folder from spark.checkpoint.dir; a temporary one only where it is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(folder)
+        return folder.rstrip("/")
+    folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="fairway-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def new_table(spark: SparkSession, name: str) -> str:
+    """Path for a table of intermediate rows in the shared folder."""
+    return f"{shared_dir(spark)}/fairway-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by a table in the shared folder."""
+    path = new_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches end at 16 MB as well as at their number of rows, for very long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not str(now).isdigit() or int(now) > ARROW_BYTES or int(now) <= 0:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
