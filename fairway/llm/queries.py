@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, tokens
+from . import pieces, ring, syncmers, tokens, urls
 from .session import table
 
 TOKEN_LIMIT = 1024
@@ -18,13 +18,57 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edit_probe(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law `rows`: counts of shards are at most one apart."""
+    placed = ring.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.token_counts(table(spark, sf_dir, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op10_sql() -> str:
+    weights, bias = urls.fit(urls.LABELLED)
+    table = "[" + ", ".join(str(round(x * 1e6)) for x in weights) + "]"
+    rules = ", ".join(f"('{says}', '{text[: text.index('/')]}', '{text[text.index('/') :]}', '{text}')" for says, text in urls.RULES)
+    return f"""
+with rest as (
+  select page_id, coalesce(case when instr(url, '://') > 0 then regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') end, '') as r from pages),
+parts as (
+  select page_id, translate(regexp_extract(r, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         substr(r, length(regexp_extract(r, '^[^/]*')) + 1) as path from rest),
+coded as (
+  select *, list_transform(range(1, length(host) + length(path) + 3), lambda i: unicode(substr('^' || host || path || '$', i, 1))) as codes from parts),
+scored as (
+  select page_id, host, path, len(codes) - 2 as n,
+         list_sum(list_transform(range(1, len(codes) - 1), lambda i: ({table})[((codes[i] * 31 + codes[i + 1]) * 31 + codes[i + 2]) % {urls.BUCKETS} + 1])) as total
+  from coded),
+rules(says, h, p, rule) as (values {rules}),
+fits as (
+  select page_id, max_by(rule, length(rule)) as rule, max_by(says, length(rule)) as says
+  from parts, rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+select s.page_id, host, path, rule,
+       coalesce(says, case when {bias} + coalesce(total, 0)::double / 1e6 / sqrt(greatest(n, 1)::double) > 0 then 'block' else 'allow' end) as verdict
+from scored s left join fits f on s.page_id = f.page_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_syncmers": op2_syncmers,
+    "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
+    "op10_url_filter": op10_url_filter,
+}
+ORACLES: dict[str, str] = {
+    "op10_url_filter": _op10_sql(),
 }
-ORACLES: dict[str, str] = {}
