@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, ring, syncmers, tokens, urls
+from . import pieces, quality, ring, substrings, syncmers, tokens, urls
 from .session import table
 
 TOKEN_LIMIT = 1024
@@ -22,6 +22,17 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, machine)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law `rows`: counts of shards are at most one apart."""
     placed = ring.shard_documents(table(spark, sf_dir, "documents"))
@@ -65,6 +76,8 @@ from scored s left join fits f on s.page_id = f.page_id"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_syncmers": op2_syncmers,
+    "op4_substrings": op4_substrings,
+    "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,

@@ -30,12 +30,32 @@ def new_table(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by a table in the shared folder."""
+    """Cut lineage by a table in the shared folder. Shuffle files of the write go when it has ended."""
     path = new_table(df.sparkSession, name)
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.parquet(path)
 
 
+def write(df: DataFrame, path: str) -> None:
+    spark = df.sparkSession
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table in the shared folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches end at 16 MB as well as at their number of rows, for very long texts."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -27,6 +27,8 @@ LABELLED = [
     ("http://click-bait.example.org/fr/12", 1), ("https://adult-cams.example.org/en/90", 1), ("http://porn-tube.example.net/en/4", 1),
     ("https://xxx-video.example.org/de/3", 1), ("http://malware-drop.example.org/en/6", 1), ("https://warez-keys.example.net/fr/2", 1),
     ("http://win-prize.example.org/en/777", 1), ("https://loans-now.example.org/es/88", 1), ("http://replica-watches.example.net/en/14", 1),
+    ("http://free-bets.example.org/en/19", 1), ("https://www.free-bets.example.net/de/502", 1), ("http://poker-bets.example.com/fr/8", 1),
+    ("https://tionble.example.org/fr/40", 0), ("http://tiontion.example.net/de/61", 0), ("https://blog.edtion.example.org/en/210", 0),
     ("http://news.example.org/en/1", 0), ("https://www.library.example.net/fr/22", 0), ("https://museum.example.com/en/45", 0),
     ("http://www.university.example.org/es/9.html", 0), ("https://blog.garden.example.org/de/77", 0), ("http://m.weather.example.org/en/5", 0),
     ("https://www.recipes.example.net/es/31", 0), ("http://travel.example.org/en/63", 0), ("https://science.example.net/en/8", 0),
