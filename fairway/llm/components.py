@@ -1,0 +1,51 @@
+"""Connected components of a distributed edge list by alternating star operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .session import delete, new_table, write
+
+MAX_ROUNDS = 60
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of the edges (a, b); component is the least node reachable.
+
+    Large star: every larger neighbour of a node moves to the node's least neighbour. Small star: a
+    node and its smaller neighbours move to the least of them. Both keep components, and rounds grow
+    with the logarithm of the longest path. Only edges are kept between rounds, in the shared folder.
+    """
+    spark = edges.sparkSession
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    path = new_table(spark, "edges")
+    write(pairs, path)
+    before = None
+    for _ in range(MAX_ROUNDS):
+        now = spark.read.parquet(path)
+        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+        if state == before:
+            break
+        before = state
+        after = new_table(spark, "edges")
+        write(_small_star(_large_star(now)), after)
+        delete(spark, path)
+        path = after
+    else:
+        raise RuntimeError("components did not settle")
+    done = spark.read.parquet(path)  # by now every edge leads to the least node
+    return done.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(done.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

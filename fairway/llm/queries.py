@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, quality, ring, substrings, syncmers, tokens, urls
+from . import forest, pieces, quality, ring, substrings, syncmers, tokens, urls
 from .session import table
 
 TOKEN_LIMIT = 1024
@@ -26,6 +26,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_syncmers": op2_syncmers,
     "op4_substrings": op4_substrings,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
     "op9_token_counts": op9_token_counts,
