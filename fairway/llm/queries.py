@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, pieces, quality, ring, substrings, syncmers, tokens, urls
+from . import forest, leaks, lines, pieces, quality, ring, substrings, syncmers, tokens, urls
 from .session import table
 
 TOKEN_LIMIT = 1024
@@ -22,10 +22,19 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edit_probe(table(spark, sf_dir, "documents"))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -80,7 +89,9 @@ from scored s left join fits f on s.page_id = f.page_id"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_syncmers": op2_syncmers,
+    "op3_line_templates": op3_line_templates,
     "op4_substrings": op4_substrings,
+    "op5_leaks": op5_leaks,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
@@ -88,5 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
+    "op3_line_templates": f"with {lines.sql('documents')} select doc_id, n_lines, n_dropped, md5(text) as kept_md5 from line_dedup",
+    "op5_leaks": f"with {leaks.sql('documents')} select * from leaked",
     "op10_url_filter": _op10_sql(),
 }
