@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text: str = "text") -
     alias = [f"c{i}" for i in range(len(names))]
     rows = docs.toDF(*alias).withColumns({"doc_id": F.coalesce(F.col(alias[names.index("doc_id")]).cast("long"), F.lit(NO_ID)), "text_key": F.xxhash64(F.coalesce(F.col(alias[at]), F.lit("")))})
     drops = dropped_lines(rows.select("doc_id", "text_key", F.col(alias[at]).alias("text")), min_docs)
-    joined = rows.join(drops, ["doc_id", "text_key"], "left")
+    joined = rows.join(drops.hint("merge"), ["doc_id", "text_key"], "left")  # drops grow with the documents, so they are never broadcast
     lines = F.split(F.col(alias[at]), "\n")
     kept = F.when(F.col("drops").isNull(), F.col(alias[at])).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drops", i)), "\n"))
     out = joined.select(*(kept.alias(a) if i == at else F.col(a) for i, a in enumerate(alias)), F.coalesce(F.size(lines), F.lit(0)).alias("l"), F.coalesce(F.size("drops"), F.lit(0)).alias("d"))
