@@ -7,12 +7,27 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairway.config import Settings
 from fairway.operators import clean, cluster, graph, motion, nodes, ships, topology, weights
+from fairway.session import written
 from fairway.sources.ais import ais
 
 
+#: The test data are sparse; with these bounds some nodes form clusters.
+COARSE = Settings(cluster_eps=400.0, cluster_min_samples=2, refine_min_size=2, refine_distance=400.0)
+_bases: dict[tuple[str, str], Base] = {}
+
+
+def base(spark: SparkSession, sf_dir: str) -> Base:
+    """The tables of a directory, shared by all queries of an application: a stage is computed once and handed on as a table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _bases:
+        _bases[key] = Base(spark, sf_dir)
+    return _bases[key]
+
+
 class Base:
-    """Lazy tables over one directory of test data."""
+    """Lazy tables over one directory. Stages are tables in the shared folder, as the engine hands them on."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -30,11 +45,11 @@ class Base:
 
     @cached_property
     def points(self) -> DataFrame:
-        return clean.gap_segments(clean.clean(self.raw))
+        return written(clean.gap_segments(clean.clean(self.raw)), "points")
 
     @cached_property
     def segments(self) -> DataFrame:
-        return motion.movement_segments(self.points)
+        return written(motion.movement_segments(self.points), "segments")
 
     @cached_property
     def features(self) -> DataFrame:
@@ -42,17 +57,15 @@ class Base:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return nodes.grid_nodes(self.features)
+        return written(nodes.grid_nodes(self.features), "nodes")
 
     @cached_property
     def clustered(self) -> DataFrame:
-        from fairway.plans.catalogue import COARSE
-
-        return cluster.grid_clusters(self.nodes, COARSE)
+                return cluster.grid_clusters(self.nodes, COARSE)
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return cluster.aggregate(self.clustered, ["cl", "cn", "co"])
+        return written(cluster.aggregate(self.clustered, ["cl", "cn", "co"]), "clusters")
 
     @cached_property
     def visits(self) -> DataFrame:
@@ -60,11 +73,11 @@ class Base:
 
     @cached_property
     def steps(self) -> DataFrame:
-        return topology.passages(self.visits, ["us", "row_idx"])
+        return written(topology.passages(self.visits, ["us", "row_idx"]), "steps")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return topology.edges(self.steps)
+        return written(topology.edges(self.steps), "edges")
 
     @cached_property
     def density(self) -> DataFrame:
@@ -72,7 +85,7 @@ class Base:
 
     @cached_property
     def mapped(self) -> DataFrame:
-        return weights.map_segments(self.segments, self.nodes)
+        return written(weights.map_segments(self.segments, self.nodes), "mapped")
 
     @cached_property
     def directed(self) -> DataFrame:
@@ -80,7 +93,7 @@ class Base:
 
     @cached_property
     def waterway(self) -> DataFrame:
-        return motion.waterway_types(self.directed, self.nodes, self.density)
+        return written(motion.waterway_types(self.directed, self.nodes, self.density), "waterway")
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -92,7 +105,7 @@ class Base:
 
     @cached_property
     def filled(self) -> DataFrame:
-        return weights.fill_hours(self.mapped)
+        return written(weights.fill_hours(self.mapped), "filled")
 
     @cached_property
     def templates(self) -> DataFrame:
@@ -104,7 +117,7 @@ class Base:
 
     @cached_property
     def risk(self) -> DataFrame:
-        return ships.rule_risk(self.limits, self.edge_features, self.templates)
+        return written(ships.rule_risk(self.limits, self.edge_features, self.templates), "risk")
 
     @cached_property
     def strong(self) -> DataFrame:

@@ -1,6 +1,6 @@
 """Every operator of the engine as a query over the test tables, with its SQL where SQL can express it.
 
-Columns are given as text: ``#x`` is a whole number, ``~x`` a float rounded to 7 places, ``^x`` one rounded to 4, ``x`` as it is.
+Columns are given as text: ``#x`` is a whole number, ``~x`` a float rounded to 4 places, ``@x`` one to 6, ``%x`` one to 2, ``x`` as it is.
 """
 
 from __future__ import annotations
@@ -11,17 +11,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairway.config import Settings
 from fairway.functions import geo
 from fairway.operators import clean, cluster, graph, kernels, models, motion, nodes, routing, ships, topology, weights
 from fairway.plans import oracle
-from fairway.plans.base import Base
+from fairway.plans.base import COARSE, Base, base
 from fairway.plans.oracle import angle, bearing, cell, circ, dist_line, hav
 
 Build = Callable[[Base], DataFrame]
-PLACES = {"~": 7, "^": 4}
-#: The test data are sparse; with these bounds some nodes form clusters.
-COARSE = Settings(cluster_eps=400.0, cluster_min_samples=2, refine_min_size=2, refine_distance=400.0)
+#: Places of a rounded column, and a shift before rounding: exact decimals then never lie on the edge between two values.
+PLACES = {"~": 4, "@": 6, "%": 2}
+SHIFT = {"~": 1.2345678e-6, "@": 1.2345678e-8, "%": 1.2345678e-4}
 
 
 @dataclass(frozen=True)
@@ -33,12 +32,12 @@ class Query:
     recursive: bool = False
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = self.build(Base(spark, sf_dir))
+        df = self.build(base(spark, sf_dir))
         out = []
         for c in self.columns.split():
-            name = c.lstrip("#~^")
+            name = c.lstrip("#~@%")
             x = F.col(name)
-            out.append((x.cast("long") if c[0] == "#" else F.round(x.cast("double"), PLACES[c[0]]) + 0.0 if c[0] in PLACES else x).alias(name))
+            out.append((x.cast("long") if c[0] == "#" else F.round(x.cast("double") + SHIFT[c[0]], PLACES[c[0]]) + 0.0 if c[0] in PLACES else x).alias(name))
         return df.select(*out)
 
     def oracle(self) -> str | None:
@@ -46,8 +45,8 @@ class Query:
             return None
         out = []
         for c in self.columns.split():
-            name = c.lstrip("#~^")
-            out.append(f"({name})::bigint as {name}" if c[0] == "#" else f"round(({name})::double, {PLACES[c[0]]}) + 0e0 as {name}" if c[0] in PLACES else name)
+            name = c.lstrip("#~@%")
+            out.append(f"({name})::bigint as {name}" if c[0] == "#" else f"round(({name})::double + {SHIFT[c[0]]!r}, {PLACES[c[0]]}) + 0e0 as {name}" if c[0] in PLACES else name)
         return oracle.sql(f"select {', '.join(out)} from ({self.sql})", *self.extra, recursive=self.recursive)
 
 
@@ -145,64 +144,64 @@ def _merged_edges(b: Base) -> DataFrame:
 
 CATALOGUE: dict[str, Query] = {
     # cleaning
-    "ais_view": Query(lambda b: b.raw, f"{ROW_KEY} ~lat ~lon ~speed ~course", "select * from ais"),
+    "ais_view": Query(lambda b: b.raw, f"{ROW_KEY} @lat @lon ~speed ~course", "select * from ais"),
     "ais_dedup": Query(lambda b: clean.dedup(b.raw), ROW_KEY, "select * from ded"),
     "speed_filter": Query(lambda b: b.fast, f"{ROW_KEY} ~speed", "select * from fast"),
     "drift_rule": Query(lambda b: clean.with_steps(b.fast).withColumn("is_drift", clean.is_drift()), f"{ROW_KEY} ~dt ~dist is_drift", "select *, coalesce(dt > 0 and dt <= 3600 and (dist > 500 or dist / dt * 1.944e0 > 30), false) as is_drift from stepped"),
     "drift_filter": Query(lambda b: clean.drift_filter(b.fast), ROW_KEY, "select * from calm"),
-    "anomaly_features": Query(lambda b: clean.anomaly_features(b.fast), f"{ROW_KEY} ~f_speed ~f_computed ^f_ratio ~f_course ~f_dist", f"""select *, speed as f_speed, dist / dt * 1.944e0 as f_computed, dist2 / greatest(dist, 1e-6) as f_ratio, {angle('course2', 'course')} as f_course, dist as f_dist
+    "anomaly_features": Query(lambda b: clean.anomaly_features(b.fast), f"{ROW_KEY} ~f_speed ~f_computed ~f_ratio ~f_course ~f_dist", f"""select *, speed as f_speed, dist / dt * 1.944e0 as f_computed, dist2 / greatest(dist, 1e-6) as f_ratio, {angle('course2', 'course')} as f_course, dist as f_dist
   from (select *, row_number() over w as i, count(*) over (partition by ship_name) as n, lag(dt) over w as dt0, lead(dist) over w as dist2, lead(course) over w as course2 from stepped window w as (partition by ship_name order by us, row_idx))
   where n >= 5 and i > 2 and i < n and dt > 0 and dt0 > 0"""),
     "short_ship_filter": Query(lambda b: clean.short_ship_filter(clean.drift_filter(b.fast)), ROW_KEY, "select * from lasting"),
-    "null_geofence": Query(lambda b: clean.clean(b.raw), f"{ROW_KEY} ~lat ~lon", "select * from fenced"),
+    "null_geofence": Query(lambda b: clean.clean(b.raw), f"{ROW_KEY} @lat @lon", "select * from fenced"),
     "gap_segments": Query(lambda b: b.points, f"{ROW_KEY} #trajectory_segment", "select * from points"),
-    "kalman_smooth": Query(lambda b: clean.kalman_smooth(b.points), f"{ROW_KEY} ~lat ~lon", "select ship_name, us, row_idx, x as lat, y as lon from filtered", (
+    "kalman_smooth": Query(lambda b: clean.kalman_smooth(b.points), f"{ROW_KEY} @lat @lon", "select ship_name, us, row_idx, x as lat, y as lon from filtered", (
         "ordered as (select *, row_number() over (partition by ship_name order by us, row_idx) as k from points)",
         """filtered(ship_name, us, row_idx, k, x, y, p) as (select ship_name, us, row_idx, k, lat, lon, 1e0 from ordered where k = 1
   union all select o.ship_name, o.us, o.row_idx, o.k, x + (f.p + 1e-2) / (f.p + 1e-2 + 1e-1) * (lat - x), y + (f.p + 1e-2) / (f.p + 1e-2 + 1e-1) * (lon - y), (1 - (f.p + 1e-2) / (f.p + 1e-2 + 1e-1)) * (f.p + 1e-2)
   from filtered f join ordered o on o.ship_name = f.ship_name and o.k = f.k + 1)""",
     ), True),
-    "moving_average": Query(lambda b: clean.moving_average(b.points), f"{ROW_KEY} ~lat ~lon", "select ship_name, us, row_idx, avg(lat) over w as lat, avg(lon) over w as lon from points window w as (partition by ship_name order by us, row_idx rows between 2 preceding and 2 following)"),
+    "moving_average": Query(lambda b: clean.moving_average(b.points), f"{ROW_KEY} @lat @lon", "select ship_name, us, row_idx, avg(lat) over w as lat, avg(lon) over w as lon from points window w as (partition by ship_name order by us, row_idx rows between 2 preceding and 2 following)"),
     "trajectory_stats": Query(lambda b: clean.trajectory_statistics(b.points), "ship_name #n_points ~total_distance ~avg_speed ~max_speed ~avg_course_change ~max_course_change", f"""select ship_name, count(*) as n_points, sum(d) as total_distance, avg(speed) as avg_speed, max(speed) as max_speed, avg(ch) as avg_course_change, max(ch) as max_course_change
   from (select ship_name, speed, {hav('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')} as d, {angle('course', 'lag(course) over w')} as ch from points window w as (partition by ship_name order by us, row_idx)) group by ship_name having count(*) >= 2"""),
     "ship_summary": Query(lambda b: clean.with_steps(b.points).groupBy("ship_name").agg(F.count_distinct("trajectory_segment").alias("segments"), F.sum("dist").alias("distance"), F.avg((F.col("dist") >= 10).cast("int")).alias("moving_share")), "ship_name #segments ~distance ~moving_share",
         f"select ship_name, count(distinct trajectory_segment) as segments, sum(d) as distance, avg((d >= 10)::int) as moving_share from (select *, {hav('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')} as d from points window w as (partition by ship_name order by us, row_idx)) group by ship_name"),
-    "isolation_forest": Query(lambda b: kernels.isolation_filter(b.fast, clean.anomaly_features(b.fast)), f"{ROW_KEY} ~lat ~lon"),
+    "isolation_forest": Query(lambda b: kernels.isolation_filter(b.fast, clean.anomaly_features(b.fast)), f"{ROW_KEY} @lat @lon"),
     # geometry
     "haversine_step": Query(lambda b: clean.with_steps(b.points), f"{ROW_KEY} ~dist", f"select ship_name, us, row_idx, {hav('lag(lat) over w', 'lag(lon) over w', 'lat', 'lon')} as dist from points window w as (partition by ship_name order by us, row_idx)"),
     "bearing_step": Query(lambda b: nodes.with_bends(b.points), f"{ROW_KEY} ~bearing_in ~bearing_out", f"select *, {bearing('lat0', 'lon0', 'lat', 'lon')} as bearing_in, {bearing('lat', 'lon', 'lat2', 'lon2')} as bearing_out from led"),
     "course_change": Query(lambda b: b.segments, f"{ROW_KEY} ~course_change", "select * from segments"),
-    "curvature": Query(lambda b: nodes.with_bends(b.points).where("i > 0 and i < n - 1"), f"{ROW_KEY} ^curvature", f"select *, {oracle.curve()} as curvature from led where i > 0 and i < n - 1"),
+    "curvature": Query(lambda b: nodes.with_bends(b.points).where("i > 0 and i < n - 1"), f"{ROW_KEY} ~curvature", f"select *, {oracle.curve()} as curvature from led where i > 0 and i < n - 1"),
     "point_segment_distance": Query(lambda b: nodes.with_bends(b.points).withColumns({k: f for k, f in _around().items()}).where("i > 0 and i < n - 1").withColumn("d", geo.point_line_distance(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"), F.col("lat2"), F.col("lon2"))), f"{ROW_KEY} ~d",
         f"select *, {dist_line(('lat', 'lon'), ('lat0', 'lon0'), ('lat2', 'lon2'))} as d from led where i > 0 and i < n - 1"),
-    "circular_mean_by_ship": Query(lambda b: b.points.groupBy("ship_name").agg(F.avg(F.sin(F.radians("course"))).alias("s"), F.avg(F.cos(F.radians("course"))).alias("c")).select("ship_name", geo.concentration(F.col("s"), F.col("c")).alias("concentration"), geo.circular_mean(F.col("s"), F.col("c")).alias("heading")), "ship_name ^heading ~concentration",
+    "circular_mean_by_ship": Query(lambda b: b.points.groupBy("ship_name").agg(F.avg(F.sin(F.radians("course"))).alias("s"), F.avg(F.cos(F.radians("course"))).alias("c")).select("ship_name", geo.concentration(F.col("s"), F.col("c")).alias("concentration"), geo.circular_mean(F.col("s"), F.col("c")).alias("heading")), "ship_name ~heading ~concentration",
         f"select ship_name, {circ('s', 'c')} as heading, sqrt(s * s + c * c) as concentration from (select ship_name, avg(sin(radians(course))) as s, avg(cos(radians(course))) as c from points group by 1)"),
     "time_period_peak": Query(lambda b: b.segments.groupBy("time_period", "is_peak_hour", "is_weekend").agg(F.count(F.lit(1)).alias("n"), F.avg("actual_speed").alias("speed")), "time_period #is_peak_hour #is_weekend #n ~speed", "select time_period, is_peak_hour, is_weekend, count(*) as n, avg(actual_speed) as speed from segments group by 1, 2, 3"),
     # nodes
     "turn_points": Query(lambda b: nodes.turn_points(b.points), f"{ROW_KEY} type", "select * from turns"),
-    "stop_islands": Query(lambda b: nodes.stop_islands(b.points), "ship_name #us ~lat ~lon #n_points ~duration ~course", "select * from islands"),
-    "stop_merge": Query(lambda b: nodes.merge_stops(nodes.stop_islands(b.points)), "#gl #gn ~lat ~lon ~duration #merged_count ship_name #us", "select * from stops"),
-    "grid_nodes": Query(lambda b: b.nodes, "#node_id #gl #gn ~lat ~lon type #frequency #ship_count ^heading ^heading_concentration", "select * from nodes"),
+    "stop_islands": Query(lambda b: nodes.stop_islands(b.points), "ship_name #us @lat @lon #n_points ~duration ~course", "select * from islands"),
+    "stop_merge": Query(lambda b: nodes.merge_stops(nodes.stop_islands(b.points)), "#gl #gn @lat @lon ~duration #merged_count ship_name #us", "select * from stops"),
+    "grid_nodes": Query(lambda b: b.nodes, "#node_id #gl #gn @lat @lon type #frequency #ship_count ~heading ~heading_concentration", "select * from nodes"),
     "node_type_mode": Query(lambda b: b.nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("frequency").alias("frequency")), "type #n #frequency", "select type, count(*) as n, sum(frequency) as frequency from nodes group by 1"),
     "type_histogram": Query(lambda b: b.nodes.select("node_id", F.explode("type_distribution").alias("type", "n")), "#node_id type #n", "select node_id, c.type as type, count(*) as n from celled c join nodes using (gl, gn) group by 1, 2"),
     "adjacent_pairs": Query(lambda b: nodes.adjacent_pairs(b.nodes), "#a #b ~dist", f"select a.node_id as a, b.node_id as b, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as dist from nodes a join nodes b on a.node_id < b.node_id and abs(a.gl - b.gl) <= 1 and abs(a.gn - b.gn) <= 1 and (a.gl, a.gn) <> (b.gl, b.gn) where {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 30"),
     "dp_simplify": Query(lambda b: kernels.simplify(b.points, 50.0, 200), ROW_KEY),
-    "adjacent_merge": Query(lambda b: nodes.merge_adjacent(b.nodes), "#node_id ~lat ~lon type #frequency #ship_count #merged_nodes ^heading"),
-    "direction_types": Query(lambda b: nodes.direction_types(b.nodes, b.segments), "#node_id ~lat ~lon type detailed_type #frequency"),
+    "adjacent_merge": Query(lambda b: nodes.merge_adjacent(b.nodes), "#node_id @lat @lon type #frequency #ship_count #merged_nodes ~heading"),
+    "direction_types": Query(lambda b: nodes.direction_types(b.nodes, b.segments), "#node_id @lat @lon type detailed_type #frequency"),
     # clusters
-    "heading_features": Query(lambda b: cluster.heading_features(b.nodes), "#node_id ^x ^y ^hx ^hy", "select node_id, (lon - ml) * 111000 * cos(radians(ma)) as x, (lat - ma) * 111000 as y, 30e0 * sin(radians(heading)) * heading_concentration as hx, 30e0 * cos(radians(heading)) * heading_concentration as hy from nodes, (select avg(lat) as ma, avg(lon) as ml from nodes)"),
+    "heading_features": Query(lambda b: cluster.heading_features(b.nodes), "#node_id ~x ~y ~hx ~hy", "select node_id, (lon - ml) * 111000 * cos(radians(ma)) as x, (lat - ma) * 111000 as y, 30e0 * sin(radians(heading)) * heading_concentration as hx, 30e0 * cos(radians(heading)) * heading_concentration as hy from nodes, (select avg(lat) as ma, avg(lon) as ml from nodes)"),
     "grid_clusters": Query(lambda b: b.clustered, "#node_id #cl #cn #co is_noise", "select * from hcl"),
-    "cluster_aggregate": Query(lambda b: b.clusters, "#node_id ~lat ~lon type #frequency #ship_count #node_count #stop_frequency ^heading ^heading_concentration is_noise", "select * from clusters"),
+    "cluster_aggregate": Query(lambda b: b.clusters, "#node_id @lat @lon type #frequency #ship_count #node_count #stop_frequency ~heading ~heading_concentration is_noise", "select * from clusters"),
     "final_node_type": Query(lambda b: cluster.final_types(b.clusters), "#node_id type final_type", """select *, case when is_noise then case when frequency >= 5 or type in ('bifurcation_point', 'merge_point', 'turn_point') then type else 'low_frequency_point' end
   when frequency >= 10 then case when type in ('bifurcation_point', 'merge_point') and stop_frequency > 0.5 * frequency then 'port_area' else type end else 'low_frequency_point' end as final_type from clusters"""),
-    "refine_merge_targets": Query(lambda b: cluster.merge_targets(b.clusters, COARSE), "#small #large ~dist", "select * from targets"),
+    "refine_merge_targets": Query(lambda b: cluster.merge_targets(b.clusters, COARSE), "#small #large %dist", "select * from targets"),
     "refine_unmerged": Query(lambda b: cluster.unmerged(b.clusters, cluster.merge_targets(b.clusters, COARSE), COARSE), "#node_id type #frequency", "select * from clusters where node_count < 2 and node_id not in (select small from targets) and type in ('bifurcation_point', 'merge_point', 'turn_point', 'port_area') and frequency >= 3"),
     "refine_clusters": Query(lambda b: cluster.refine(b.clusters, COARSE), "#node_id #old_id #frequency #ship_count type", """select row_number() over (order by frequency desc, old_id) - 1 as node_id, * from (
   select l.node_id as old_id, l.frequency + coalesce(sum(s.frequency), 0) as frequency, l.ship_count + coalesce(sum(s.ship_count), 0) as ship_count, l.type from clusters l left join targets t on t.large = l.node_id left join clusters s on s.node_id = t.small
   where l.node_count >= 2 group by l.node_id, l.frequency, l.ship_count, l.type
   union all select node_id, frequency, ship_count, type from clusters where node_count < 2 and node_id not in (select small from targets) and type in ('bifurcation_point', 'merge_point', 'turn_point', 'port_area') and frequency >= 3)"""),
     "dbscan": Query(lambda b: cluster.density_clusters(b.nodes, COARSE), "#node_id #cluster is_noise"),
-    "kde_center": Query(lambda b: cluster.aggregate(b.clustered, ["cl", "cn", "co"], centre="kde"), "#node_id ~lat ~lon #node_count"),
+    "kde_center": Query(lambda b: cluster.aggregate(b.clustered, ["cl", "cn", "co"], centre="kde"), "#node_id @lat @lon #node_count"),
     # topology
     "candidate_join": Query(lambda b: topology.candidates(b.points, b.nodes).select("ship_name", "row_idx", F.explode("candidates").alias("c")).select("ship_name", "row_idx", "c.*"), "ship_name #row_idx #node_id ~d ~emission", f"""select ship_name, row_idx, node_id, d, case when best < 200 then exp(-d * d / 20000e0) else 1e-1 end as emission from (
   select p.ship_name, p.row_idx, q.node_id, {hav('p.lat', 'p.lon', 'q.lat', 'q.lon')} as d, min({hav('p.lat', 'p.lon', 'q.lat', 'q.lon')}) over (partition by p.ship_name, p.row_idx) as best, row_number() over (partition by p.ship_name, p.row_idx order by {hav('p.lat', 'p.lon', 'q.lat', 'q.lon')}, q.node_id) as k
@@ -215,7 +214,7 @@ CATALOGUE: dict[str, Query] = {
     "isolated_nodes": Query(lambda b: topology.isolated_nodes(b.nodes, b.strong), "#node_id", "select node_id from nodes where node_id not in (select node from ends)"),
     "used_nodes": Query(lambda b: topology.used_nodes(b.nodes, b.strong), "#node_id type", "select * from nodes where node_id in (select node from ends)"),
     "degree": Query(lambda b: b.degrees, "#node #degree", "select * from degs"),
-    "triangles_clustering": Query(lambda b: graph.clustering(b.strong), "#node #degree #triangles ^coefficient", """select node, degree, coalesce(t, 0) as triangles, case when degree > 1 then 2e0 * coalesce(t, 0) / (degree * (degree - 1)) else 0 end as coefficient from degs left join (
+    "triangles_clustering": Query(lambda b: graph.clustering(b.strong), "#node #degree #triangles ~coefficient", """select node, degree, coalesce(t, 0) as triangles, case when degree > 1 then 2e0 * coalesce(t, 0) / (degree * (degree - 1)) else 0 end as coefficient from degs left join (
   select node, count(*) as t from (select unnest([a.u, a.v, b.v]) as node from strong a join strong b on b.u = a.v join strong c on c.u = a.u and c.v = b.v) group by 1) using (node)"""),
     "components": Query(lambda b: graph.components(b.strong.select(F.col("u").alias("a"), F.col("v").alias("b"))), "#node #component", "select node, min(goal) as component from reach group by node", (
         "reach(node, goal) as (select node, node from (select distinct node from ends) union select r.node, e.other from reach r join ends e on e.node = r.goal)",), True),
@@ -272,7 +271,7 @@ CATALOGUE: dict[str, Query] = {
     "recommend_path": Query(lambda b: routing.recommend(_options(b)), "#request_id option ~score is_recommended", "select *, row_number() over (partition by request_id order by round(score, 9) desc, option) = 1 as is_recommended from (select *, 35e-2 * safety / 100 + 25e-2 * (1 - time / max(time) over (partition by request_id)) + 2e-1 * (1 - distance / max(distance) over (partition by request_id)) + case when path_type = 'FREQUENT' then 1e-1 else 0 end as score from options)", (*PATH_SQL, OPTIONS_SQL), True),
     "comparison_summary": Query(lambda b: routing.comparison(_options(b)), "#request_id #n_options ~min_distance ~max_distance ~min_time ~max_time ~min_safety ~max_safety", "select request_id, count(*) as n_options, min(distance) as min_distance, max(distance) as max_distance, min(time) as min_time, max(time) as max_time, min(safety) as min_safety, max(safety) as max_safety from options group by 1", (*PATH_SQL, OPTIONS_SQL), True),
     "web_path_stats": Query(lambda b: routing.web_stats(_stat_route(b), b.edge_features), "path_id ~total_distance_km ~total_time_min ~risk_score ~safety_score #waypoint_count"),
-    "route_lines": Query(lambda b: routing.route_lines(_stat_route(b), b.nodes).select("path_id", F.size("coordinates").alias("n"), F.get(F.get("coordinates", 0), 0).alias("first_lon"), F.get(F.get("coordinates", 0), 1).alias("first_lat")), "path_id #n ~first_lon ~first_lat", "select path_id, len(path) as n, lon as first_lon, lat as first_lat from paths join nodes on node_id = path[1]", PATH_SQL, True),
+    "route_lines": Query(lambda b: routing.route_lines(_stat_route(b), b.nodes).select("path_id", F.size("coordinates").alias("n"), F.get(F.get("coordinates", 0), 0).alias("first_lon"), F.get(F.get("coordinates", 0), 1).alias("first_lat")), "path_id #n @first_lon @first_lat", "select path_id, len(path) as n, lon as first_lon, lat as first_lat from paths join nodes on node_id = path[1]", PATH_SQL, True),
     "decision_documents": Query(lambda b: routing.decisions(_options(b)).select("request_id", F.get_json_object("document", "$.recommended.option").alias("recommended"), F.get_json_object("document", "$.comparison_summary.n_options").alias("n_options")), "#request_id recommended #n_options", "select request_id, arg_max(option, row(round(score, 9), -rank)) as recommended, count(*) as n_options from (select *, row_number() over (partition by request_id order by option) as rank, 35e-2 * safety / 100 + 25e-2 * (1 - time / max(time) over (partition by request_id)) + 2e-1 * (1 - distance / max(distance) over (partition by request_id)) + case when path_type = 'FREQUENT' then 1e-1 else 0 end as score from options) group by 1", (*PATH_SQL, OPTIONS_SQL), True),
     "planned_routes": Query(lambda b: routing.plan(_requests(b), _network(b)), "#request_id #option path_type ~cost"),
     "yen_k_paths": Query(_ranked, "#request_id #rank ~cost"),
