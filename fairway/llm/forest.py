@@ -264,7 +264,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     paired = dealt.withColumn("other", F.explode(other)).where("blocks <= 2 or other <> block or blocks = 1")
     part = F.least("block", "other") * F.lit(1 << 20).cast("long") + F.greatest("block", "other")
     wanted = paired.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), F.when(F.col("blocks") <= 2, F.lit(0).cast("long")).otherwise(part).alias("part")).distinct()
-    sent = rows.join(wanted, "doc_id").repartition(parts, "cluster", "part").sortWithinPartitions("cluster", "part")
+    # the list of wanted documents grows with the table, so it is never broadcast
+    sent = rows.join(wanted.hint("merge"), "doc_id").repartition(parts, "cluster", "part").sortWithinPartitions("cluster", "part")
     links = sent.mapInArrow(_confirmed(shingle, percent), "a long, b long")
     found = components(links)
     # class heads to their component, and every row to that of its class
