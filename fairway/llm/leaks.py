@@ -55,7 +55,9 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, contained:
     shingled = rows.select("doc_id", "text_key", _words(F.col("text")).alias("w")).select("doc_id", "text_key", F.explode(_hashes(F.col("w"), shingle)).alias("h"))
     candidates = shingled.join(small(signature), "h").select("doc_id", "text_key", "item_id").distinct()
     wanted = candidates.groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("items"))
-    again = rows.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "items", F.explode(F.array_distinct(_hashes(_words(F.col("text")), shingle))).alias("h"))
+    # words are a column of their own: inside the hashing lambda they would be split anew for every word
+    again = rows.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "items", _words(F.col("text")).alias("w"))
+    again = again.select("doc_id", "text_key", "items", F.explode(F.array_distinct(_hashes(F.col("w"), shingle))).alias("h"))
     held = again.join(small(parts), "h").where(F.array_contains("items", F.col("item_id")))
     counted = held.groupBy("doc_id", "text_key", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared")).where(100 * F.col("n_shared") >= percent * F.col("n"))
     once = counted.groupBy("doc_id", "item_id", "n").agg(F.max("n_shared").alias("n_shared"))
