@@ -40,10 +40,12 @@ def _masked(tokens: Column) -> Column:
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_key, drops): the places of the lines to drop; ``docs`` has doc_id, text_key, text."""
     lines = docs.where("text is not null").select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    # tokens are a column while the leaf is found, so lines are split once; only the line itself moves
     lines = lines.select("*", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    lines = lines.withColumn("leaf", F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, LEAD))))
+    leaf = F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, LEAD)))
+    lines = lines.select("doc_id", "text_key", "place", "line", leaf.alias("leaf"))
     shared = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
-    full = lines.join(shared, "leaf", "left_semi").select("doc_id", "text_key", "place", "leaf", _masked(F.col("tokens")).alias("tokens"))
+    full = lines.join(shared, "leaf", "left_semi").select("doc_id", "text_key", "place", "leaf", _masked(_tokens(F.col("line"))).alias("tokens"))
     full = written(full, "lines")
     held = full.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
     modal = held.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
