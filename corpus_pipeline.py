@@ -26,9 +26,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go but for the first; a document left without any text goes too."""
+    """Lines of recurring templates go but for the first, long ones from two texts on, short ones too; a document left without any text goes too."""
     names = docs.columns
-    cut = lines.dedup_lines(docs).toDF(*names, "__lines", "__dropped")
+    cut = lines.dedup_lines(docs, whole=True).toDF(*names, "__lines", "__dropped")
     cut = cut.where((F.col("__dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*names)
 

@@ -8,8 +8,14 @@ it agrees with ``SIMILARITY`` of its places; other lines of the leaf stand for t
 variable fields). A template found in at least ``min_docs`` different texts recurs across documents:
 its first line (least doc_id, then place) stays, all others are dropped.
 
-Exact copies of a text count once, so copied documents do not make their own lines recur. Lines under
-``MIN_TOKENS`` tokens are never dropped. Null text stays null (0 lines), an empty text has one empty
+With ``whole`` the number of texts follows the length of the line: ``SHORT_DOCS`` for lines under
+``MIN_TOKENS`` tokens, ``min_docs`` for the others, and for long lines also the fewer texts of ``LONG``,
+where a line must agree with ``CLOSE`` of the places of the template and a place of it needs two lines
+that hold its token. A short line of variable fields alone is compared as it is written. Without
+``whole``, as in op3 and its SQL, lines under ``MIN_TOKENS`` tokens are never dropped, and a long line
+needs ``min_docs`` texts too.
+
+Exact copies of a text count once, so copied documents do not make their own lines recur. Null text stays null (0 lines), an empty text has one empty
 line. Rows that share a doc_id are told apart by their texts; rows equal in both get equal results.
 Only JVM expressions are used. Leaves short of min_docs texts are set aside before any tokens move.
 """
@@ -25,6 +31,10 @@ MIN_DOCS = 10
 LEAD = 3
 SIMILARITY = 0.6
 MIN_TOKENS = 4
+SHORT_DOCS = 20
+#: Least number of tokens of a long line, and in how many texts it recurs.
+LONG = ((50, 2), (20, 5))
+CLOSE = 0.8
 NO_ID = -(1 << 63)
 _GAP = r"[\x20\x09-\x0D]+"
 
@@ -37,36 +47,51 @@ def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, whole: bool = False) -> DataFrame:
     """(doc_id, text_key, drops): the places of the lines to drop; ``docs`` has doc_id, text_key, text."""
+    size = F.size("tokens")
+    wide, close = F.lit(min_docs), F.lit(None).cast("int")
+    if whole:
+        wide = F.when(size < MIN_TOKENS, SHORT_DOCS).otherwise(min_docs)
+        for least, texts in reversed(LONG):
+            close = F.when(size >= least, texts).otherwise(close)
     lines = docs.where("text is not null").select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     # tokens are a column while the leaf is found, so lines are split once; only the line itself moves
-    lines = lines.select("*", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    leaf = F.xxhash64(F.size("tokens"), _masked(F.slice("tokens", 1, LEAD)))
-    lines = lines.select("doc_id", "text_key", "place", "line", leaf.alias("leaf"))
-    shared = lines.groupBy("leaf", "text_key").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs).select("leaf")
+    lines = lines.select("*", _tokens(F.col("line")).alias("tokens")).where(size >= (1 if whole else MIN_TOKENS))
+    bare = (size < MIN_TOKENS) & F.forall("tokens", lambda t: t.rlike("[0-9]"))
+    lead = _masked(F.slice("tokens", 1, LEAD))
+    leaf = F.xxhash64(size, F.when(bare, F.slice("tokens", 1, LEAD)).otherwise(lead) if whole else lead)
+    lines = lines.select("doc_id", "text_key", "place", "line", leaf.alias("leaf"), F.least(wide, close).alias("need"))
+    shared = lines.groupBy("leaf", "text_key").agg(F.min("need").alias("need")).groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("need").alias("need")).where(F.col("texts") >= F.col("need")).select("leaf")
     full = lines.join(shared, "leaf", "left_semi").select("doc_id", "text_key", "place", "leaf", _masked(_tokens(F.col("line"))).alias("tokens"))
     full = written(full, "lines")
     held = full.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
     modal = held.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
-    modal = modal.select("leaf", "at", F.when(2 * F.col("top.n") >= F.col("all"), F.col("top.token")).otherwise("<*>").alias("token"))
+    fixed = (2 * F.col("top.n") >= F.col("all")) & (F.col("top.n") >= (2 if whole else 1))
+    modal = modal.select("leaf", "at", F.when(fixed, F.col("top.token")).otherwise("<*>").alias("token"))
     template = modal.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("t")).select("leaf", F.col("t.token").alias("template"))
     agree = F.aggregate(F.zip_with("tokens", "template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    unit = F.when(agree >= SIMILARITY * F.size("tokens"), F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "tokens"))
-    placed = full.join(template, "leaf").select("doc_id", "text_key", "place", unit.alias("unit"))
-    by_text = placed.groupBy("unit", "text_key").agg(F.min(F.struct("doc_id", "text_key", "place")).alias("first"))
-    recurring = by_text.groupBy("unit").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= min_docs)
+    # the two counts of a line go in one shuffle: the flag keeps their units apart
+    unit = lambda part, flag: F.struct(F.when(agree >= part * size, F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "tokens")).alias("unit"), F.lit(flag).alias("close"))
+    placed = full.join(template, "leaf")
+    if whole:
+        units = F.when(close.isNotNull(), F.array(F.struct(unit(SIMILARITY, False).alias("u"), wide.alias("need")), F.struct(unit(CLOSE, True).alias("u"), close.alias("need")))).otherwise(F.array(F.struct(unit(SIMILARITY, False).alias("u"), wide.alias("need"))))
+        placed = placed.select("doc_id", "text_key", "place", F.explode(units).alias("x")).select("doc_id", "text_key", "place", F.col("x.u").alias("unit"), F.col("x.need").alias("need"))
+    else:
+        placed = placed.select("doc_id", "text_key", "place", unit(SIMILARITY, False)["unit"].alias("unit"), wide.alias("need"))
+    by_text = placed.groupBy("unit", "text_key").agg(F.min(F.struct("doc_id", "text_key", "place")).alias("first"), F.min("need").alias("need"))
+    recurring = by_text.groupBy("unit").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.min("need").alias("need")).where(F.col("texts") >= F.col("need"))
     gone = placed.join(recurring.select("unit", "first"), "unit").where(F.struct("doc_id", "text_key", "place") != F.col("first"))
     return gone.groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("drops"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, text: str = "text", whole: bool = False) -> DataFrame:
     """All columns of the documents, ``text`` without its dropped lines, and n_lines and n_dropped."""
     names = docs.columns
     at = names.index(text)
     alias = [f"c{i}" for i in range(len(names))]
     rows = docs.toDF(*alias).withColumns({"doc_id": F.coalesce(F.col(alias[names.index("doc_id")]).cast("long"), F.lit(NO_ID)), "text_key": F.xxhash64(F.coalesce(F.col(alias[at]), F.lit("")))})
-    drops = dropped_lines(rows.select("doc_id", "text_key", F.col(alias[at]).alias("text")), min_docs)
+    drops = dropped_lines(rows.select("doc_id", "text_key", F.col(alias[at]).alias("text")), min_docs, whole)
     joined = rows.join(drops.hint("merge"), ["doc_id", "text_key"], "left")  # drops grow with the documents, so they are never broadcast
     lines = F.split(F.col(alias[at]), "\n")
     kept = F.when(F.col("drops").isNull(), F.col(alias[at])).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drops", i)), "\n"))

@@ -482,6 +482,28 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_lines_of_all_lengths(spark):
+    r = random.Random(8)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    long, middle, lead = say(60), say(30), say(3)
+    changed = long.split(" ")
+    changed[30] = "changed"
+    other = lead + " " + say(57)
+    apart = other.split(" ")[:20] + say(40).split(" ")  # a third of the places of the other line
+    found = [(i, f"{say(9)}\nAll rights reserved.\n{say(9)}" + (f"\nNot often\n{i}" if i < 19 else "")) for i in range(20)]
+    found += [(30, say(9) + "\n" + long), (31, long + "\n" + say(9)), (32, say(9) + "\n" + " ".join(changed)), (33, say(9) + "\n" + other), (34, say(9) + "\n" + " ".join(apart))]
+    found += [(40 + i, say(9) + "\n" + middle) for i in range(5)] + [(50 + i, say(9) + f"\nfour words {middle[:6]} here") for i in range(9)]
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    want = {i: t.replace("\nAll rights reserved.", "") if 0 < i < 20 else t for i, t in found}
+    want[31] = found[21][1].split("\n")[1]
+    want |= {i: want[i].split("\n")[0] for i in (32, 41, 42, 43, 44)}
+    assert {x["doc_id"]: x["text"] for x in lines.dedup_lines(df, whole=True).collect()} == want
+    import corpus_pipeline
+
+    staged = corpus_pipeline.dedup_lines(spark, df.withColumn("n_chars", F.length("text")), "")
+    assert {x["doc_id"]: x["text"] for x in staged.collect()} == want
+
+
 # whole tables ---------------------------------------------------------------
 
 
