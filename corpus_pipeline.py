@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairway.llm import forest, leaks, lines, pieces, quality
-from fairway.llm.session import delete, new_table, table, write
+from fairway.llm.session import delete, new_table, table, write, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,10 +34,15 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate class. Of rows that share a doc_id all stay."""
-    found = forest.near_duplicates(docs, shingle=SHINGLE, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """The first document of each near-duplicate class. Rows of one doc_id, or of none, count one by one, and equal ones once."""
+    rows = docs.withColumn("__row", F.col("doc_id").cast("long"))
+    if not rows.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __row is null").isEmpty():
+        order = ["doc_id", F.xxhash64(F.coalesce("text", F.lit(""))), "text"]
+        rows = docs.dropDuplicates(["doc_id", "text"]).repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # numbers follow doc_id, as parts are ranges of it
+    found = forest.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), shingle=SHINGLE, percent=80)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(gone.hint("merge"), "__row", "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

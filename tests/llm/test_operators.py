@@ -532,3 +532,18 @@ def test_pipeline_stages(spark):
         assert stage(spark, docs.limit(0), d).count() == 0
     out = corpus_pipeline.run(spark, d).collect()
     assert 0 < len(out) < docs.count() and all(r["decodes"] for r in out)
+
+
+def test_near_dedup_of_shared_and_missing_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    a, b, c = (" ".join(f"w{r.randint(0, 10**6)}" for _ in range(80)) for _ in range(3))
+    near = c.rsplit(" ", 1)[0] + " changed"
+    found = [(1, a), (1, a), (1, b), (None, a), (None, a), (None, c), (None, near), (7, c), (8, None), (8, None), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in found], "doc_id long, text string, lang string").repartition(3)
+    kept = corpus_pipeline.dedup_documents(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [(x["doc_id"], x["text"]) for x in kept.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(None, a), (1, b), min((x for x in got if x[1] in (c, near)), key=repr), (8, None), (8, ""), (None, None)]))
+    assert all(i is None for i, t in got if t in (a, c, near))
