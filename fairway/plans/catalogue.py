@@ -244,6 +244,9 @@ CATALOGUE: dict[str, Query] = {
     "flat_features": Query(lambda b: weights.flat_features(b.stats, weights.direction_stats(b.mapped), weights.period_weights(b.mapped), b.filled, b.waterway, weights.bidirectional(weights.octants(b.mapped)), graph.degrees(b.directed)), "#from_node #to_node model_used #segment_count waterway_type #waterway_type_code #node_degree_from #night_sample_count ~morning_avg_time ~predicted_time_h08 ~predicted_time_evening is_bidirectional"),
     "dynamic_weight_lookup": Query(lambda b: weights.dynamic_weight(b.filled.where("hour % 2 = 0"), weights.period_weights(b.mapped), b.stats, b.directed.crossJoin(b.spark.range(6, 12).select(F.col("id").cast("int").alias("hour")))), "#u #v #hour ~weight", f"""select u, v, hour, coalesce(f.predicted_time, p.avg_time, s.avg_travel_time) as weight from (select *, {oracle.PERIOD} as time_period from (select u, v, unnest(range(6, 12))::int as hour from directed))
   left join (select u, v, hour, predicted_time from filled where hour % 2 = 0) f using (u, v, hour) left join periods p using (u, v, time_period) left join stats s using (u, v)"""),
+    # every hour of every directed edge over the whole filled table
+    "dynamic_weight_24h": Query(lambda b: weights.dynamic_weight(b.filled, weights.period_weights(b.mapped), b.stats, b.directed.crossJoin(b.spark.range(24).select(F.col("id").cast("int").alias("hour")))), "#u #v #hour ~weight", f"""select u, v, hour, coalesce(f.predicted_time, p.avg_time, s.avg_travel_time) as weight from (select *, {oracle.PERIOD} as time_period from (select u, v, unnest(range(24))::int as hour from directed))
+  left join (select u, v, hour, predicted_time from filled) f using (u, v, hour) left join periods p using (u, v, time_period) left join stats s using (u, v)"""),
     "peak_offpeak_ratio": Query(lambda b: weights.peak_ratio(b.filled), "#u #v ~ratio", "select u, v, avg(predicted_time) filter (hour between 7 and 9) / avg(predicted_time) filter (hour between 0 and 4) as ratio from filled group by 1, 2"),
     "hourly_volume": Query(lambda b: weights.hourly_volume(b.mapped), "#u #v #hour #flow congestion", "select u, v, hour, flow, case when s < 0.25 then 'free' when s < 0.5 then 'light' when s < 0.7 then 'moderate' when s < 0.85 then 'heavy' else 'severe' end as congestion from (select *, flow / (max(flow) over (partition by u, v))::double as s from (select u, v, hour, count(*) as flow from mapped group by 1, 2, 3))"),
     "model_compare": Query(lambda b: models.compare(_period_features(b))[0], "model ~mae ~rmse ~r2 ~mape is_best"),

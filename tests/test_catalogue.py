@@ -82,3 +82,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalogue.CATALOGUE) <= set(entry.queries())
+
+
+def test_dynamic_weight_covers_all_hours(spark):
+    b = base(spark, DATA)
+    got = catalogue.CATALOGUE["dynamic_weight_24h"].run(spark, DATA)
+    both = got.join(b.filled, ["u", "v", "hour"])
+    assert got.count() == 24 * b.directed.count() == both.count()
+    assert both.where(F.abs(F.col("weight") - F.col("predicted_time")) > 1e-4).count() == 0

@@ -235,3 +235,13 @@ def test_movement_leaves_out_slow_and_long_steps(spark):
     rows = [("A", 0, 0, 22.0, 113.0, 5.0, 10.0), ("A", 60_000_000, 1, 22.001, 113.0, 7.0, 350.0), ("A", 90_000_000, 2, 22.001, 113.0, 7.0, 350.0), ("A", 90_000_000 + 90_000_000_000, 3, 23.0, 113.0, 7.0, 350.0)]
     got = motion.movement_segments(spark.createDataFrame(rows, POINTS)).collect()
     assert len(got) == 1 and got[0]["reported_speed"] == 6.0 and got[0]["course_change"] == 20.0
+
+
+def test_dynamic_weight_falls_back_from_hour_to_period_to_mean(spark):
+    filled = spark.createDataFrame([(1, 2, 7, 70.0), (1, 2, 9, 90.0)], "u long, v long, hour int, predicted_time double")
+    hours = spark.range(24).select(F.col("id").cast("int").alias("hour"))
+    named = {r[0]: r[1] for r in hours.select("hour", geo.time_period(F.col("hour"))).collect()}
+    periods = spark.createDataFrame([(1, 2, named[8], 5.0)], "u long, v long, time_period string, avg_time double")
+    stats = spark.createDataFrame([(1, 2, 3.0), (2, 1, 4.0)], "u long, v long, avg_travel_time double")
+    got = {tuple(r)[:3]: r["weight"] for r in weights.dynamic_weight(filled, periods, stats, stats.select("u", "v").crossJoin(hours)).collect()}
+    assert got == {(1, 2, h): {7: 70.0, 9: 90.0}.get(h, 5.0 if named[h] == named[8] else 3.0) for h in range(24)} | {(2, 1, h): 4.0 for h in range(24)}
