@@ -97,3 +97,9 @@ def time_period(hour: Column) -> Column:
 
 def is_peak(hour: Column) -> Column:
     return hour.isin(*PEAK_HOURS).cast("int")
+
+
+def mean_degrees(column: str) -> Column:
+    """Mean to the whole nano-degree. Sums are of whole numbers, so the order of rows never shows."""
+    nano = f"cast(round({column} * 1e9) as bigint)"
+    return F.expr(f"cast((2 * sum({nano}) + count({nano})) div nullif(2 * count({nano}), 0) as double) / 1e9")

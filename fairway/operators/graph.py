@@ -6,28 +6,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairway.session import delete, new_table, write
+from fairway.session import delete, new_table, write, written
 
 MAX_ROUNDS = 60
-IN_MEMORY = 200_000  # edges up to which a walk runs in memory instead of in rounds
+IN_TASK = 200_000  # edges up to which a walk runs in one task instead of in rounds
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); component is the least node reachable.
 
-    Large star: every larger neighbour of a node moves to the node's least neighbour. Small star: a
-    node and its smaller neighbours move to the least of them. Both keep components, and rounds grow
-    with the logarithm of the longest path. Only edges are kept between rounds, in the shared folder.
+    Up to IN_TASK edges are joined in one task. Beyond, large star: every larger neighbour of a node
+    moves to the node's least neighbour; small star: a node and its smaller neighbours move to the
+    least of them. Both keep components, and rounds grow with the logarithm of the longest path.
+    Only edges are kept between rounds, in the shared folder.
     """
     spark = edges.sparkSession
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     path = new_table(spark, "edges")
     write(pairs, path)
-    if spark.read.parquet(path).count() <= IN_MEMORY:
-        return spark.createDataFrame(_joined(spark.read.parquet(path).collect()), "node long, component long")
+    if spark.read.parquet(path).count() <= IN_TASK:
+        joined = spark.read.parquet(path).coalesce(1).mapInArrow(_joined, "node long, component long")
+        return written(joined, "components")
     before = None
     for _ in range(MAX_ROUNDS):
         now = spark.read.parquet(path)
@@ -45,7 +48,7 @@ def components(edges: DataFrame) -> DataFrame:
     return done.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(done.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _joined(pairs: list) -> list[tuple[int, int]]:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -55,10 +58,12 @@ def _joined(pairs: list) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    for a, b in pairs:
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    return [(x, root(x)) for x in parent]
+    for batch in batches:
+        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -164,8 +169,8 @@ def reachable(edges: DataFrame, start: int, u: str = "u", v: str = "v", most_ste
     """(node, steps) of every node reachable along the edges' direction."""
     spark = edges.sparkSession
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).distinct()
-    if e.count() <= IN_MEMORY:
-        return spark.createDataFrame(_walked(e.collect(), start), "node long, steps int")
+    if 0 < e.count() <= IN_TASK:
+        return e.coalesce(1).mapInArrow(_walk_from(start), "node long, steps int")
     found = spark.createDataFrame([(start, 0)], "node long, steps int")
     front = found
     for step in range(1, most_steps):
@@ -179,17 +184,21 @@ def reachable(edges: DataFrame, start: int, u: str = "u", v: str = "v", most_ste
     return found
 
 
-def _walked(pairs: list, start: int) -> list[tuple[int, int]]:
-    out: dict[int, list[int]] = {}
-    for u, v in pairs:
-        out.setdefault(u, []).append(v)
-    steps, level = {start: 0}, [start]
-    while level:
-        after = []
-        for u in level:
-            for v in out.get(u, ()):
-                if v not in steps:
-                    steps[v] = steps[u] + 1
-                    after.append(v)
-        level = after
-    return list(steps.items())
+def _walk_from(start: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, list[int]] = {}
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+                out.setdefault(u, []).append(v)
+        steps, level = {start: 0}, [start]
+        while level:
+            after = []
+            for u in level:
+                for v in out.get(u, ()):
+                    if v not in steps:
+                        steps[v] = steps[u] + 1
+                        after.append(v)
+            level = after
+        yield pa.RecordBatch.from_arrays([pa.array(list(steps), pa.int64()), pa.array(list(steps.values()), pa.int32())], names=["node", "steps"])
+
+    return run

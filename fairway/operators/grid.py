@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fairway.functions import geo
+from fairway.session import written
 
 
 def neighbours(lat: Column, lon: Column, size: float) -> Column:
@@ -48,12 +49,19 @@ def within(df: DataFrame, other: DataFrame, size: float, radius: float) -> DataF
 
 
 def numbered(df: DataFrame, major: list[str], descending: tuple[str, ...], minor: list[str], out: str = "node_id") -> DataFrame:
-    """Position from 0 in the order of major, then minor columns, without one global sort.
+    """Position from 0 in the order of major, then minor columns, without a sort in one place.
 
-    Only the counts of the major keys are ordered in one place; rows are ordered inside their key.
+    Counts of the major keys are dealt to ranges of their order; each range adds the sum of the ranges
+    before it, of which there are as many as partitions. Rows are ordered inside their key.
     """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc(c) if c in descending else F.asc(c) for c in major]
-    counts = df.groupBy(*major).agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))).select(*major, F.coalesce("__before", F.lit(0)).alias("__before"))
+    counts = df.groupBy(*major).agg(F.count(F.lit(1)).alias("__n")).repartitionByRange(parts, *order)
+    ranged = written(counts.withColumn("__p", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("__p").agg(F.sum("__n").alias("__s"))
+    offset = sums.withColumn("__o", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__o")  # as many rows as partitions
+    inner = F.coalesce(F.sum("__n").over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = ranged.withColumn("__inner", inner).join(F.broadcast(offset), "__p").select(*major, (F.col("__o") + F.col("__inner")).alias("__before"))
     inside = df.withColumn("__i", F.row_number().over(Window.partitionBy(*major).orderBy(*minor)))
     return inside.join(before, major).withColumn(out, (F.col("__before") + F.col("__i") - 1).cast("long")).drop("__before", "__i")

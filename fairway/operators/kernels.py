@@ -107,11 +107,33 @@ def greedy_leaders(nodes: DataFrame, pairs: DataFrame, order: list[str]) -> Data
 # directions -----------------------------------------------------------------
 
 
-def circular_clusters(degrees: np.ndarray, eps: float = 0.5, least: int = 3) -> np.ndarray:
-    """Density clusters of directions by chord length on the unit circle; -1 is noise."""
-    rad = np.radians(degrees)
-    xy = np.column_stack([np.cos(rad), np.sin(rad)])
-    return dbscan(xy, eps, least)
+def circular_clusters(degrees: np.ndarray, counts: np.ndarray, eps: float = 0.5, least: int = 3) -> np.ndarray:
+    """Density clusters of sorted distinct directions with counts; near is a chord of the unit circle up to eps. -1 is noise.
+
+    On a circle, clusters are runs of cores without a gap over the angle of that chord, so one pass
+    over the sorted directions is enough. A border goes to the first cluster that reaches it.
+    """
+    n = len(degrees)
+    turn = math.degrees(2 * math.asin(eps / 2))
+    three = np.concatenate([degrees - 360, degrees, degrees + 360])
+    total = np.concatenate([[0], np.cumsum(np.tile(counts, 3))])
+    reach = lambda x: total[np.searchsorted(three, x + turn, "right")] - total[np.searchsorted(three, x - turn, "left")]
+    core = np.flatnonzero(reach(degrees) >= least)
+    label = np.full(n, -1)
+    if not len(core):
+        return label
+    at = degrees[core]
+    group = np.concatenate([[0], np.cumsum(np.diff(at) > turn)])
+    if at[0] + 360 - at[-1] <= turn:
+        group[group == group[-1]] = 0
+    label[core] = group
+    for i in np.flatnonzero(label < 0):
+        k = int(np.searchsorted(at, degrees[i]))
+        sides = [(group[k - 1], (degrees[i] - at[k - 1]) % 360), (group[k % len(at)], (at[k % len(at)] - degrees[i]) % 360)]
+        near = [g for g, d in sides if d <= turn]
+        if near:
+            label[i] = min(near)
+    return label
 
 
 def dbscan(points: np.ndarray, eps: float, least: int) -> np.ndarray:
@@ -133,37 +155,38 @@ def dbscan(points: np.ndarray, eps: float, least: int) -> np.ndarray:
     return label
 
 
-def direction_of(degrees: np.ndarray) -> str:
-    """Type of a node from the bearings around it."""
-    if len(degrees) < 3:
+def direction_of(degrees: np.ndarray, counts: np.ndarray, cosines: np.ndarray, sines: np.ndarray) -> str:
+    """Type of a node from the bearings around it: sorted distinct values, how many, and their summed cosines and sines."""
+    total = counts.sum()
+    if total < 3:
         return "waypoint"
-    label = circular_clusters(degrees)
-    rad = np.radians(degrees)
-    xy = np.column_stack([np.cos(rad), np.sin(rad)])
+    label = circular_clusters(degrees, counts)
     kinds = sorted(set(label[label >= 0].tolist()))
     if len(kinds) >= 3:
-        centres = [math.degrees(math.atan2(*xy[label == k].mean(axis=0)[::-1])) % 360 for k in kinds]
+        centres = [math.degrees(math.atan2(sines[label == k].sum(), cosines[label == k].sum())) % 360 for k in kinds]
         opposite = any(min(d := abs(a - b), 360 - d) > 150 for i, a in enumerate(centres) for b in centres[i + 1 :])
         return "merge_point" if opposite else "bifurcation_point"
-    r = float(np.hypot(*xy.mean(axis=0)))
-    spread = math.degrees(math.sqrt(max(0.0, -2 * math.log(max(r, 1e-10))))) if r > 0 else 180.0
+    r = min(1.0, math.hypot(cosines.sum(), sines.sum()) / total)
+    spread = math.degrees(math.sqrt(-2 * math.log(max(r, 1e-10))))
     return "turn_point" if spread > 45 else "waypoint"
 
 
 def direction_type(bearings: DataFrame) -> DataFrame:
     """(node_id, direction_type) of nodes with at least three bearings.
 
-    Bearings are counted by tenths of a degree first, so a node of any traffic is a group of at most
-    3,600 rows; a count of three or more of one value is as good as all of it for clustering.
+    Bearings are gathered by thousandths of a degree with their number and their summed cosines and
+    sines first, so a node of any traffic is a group of at most 360,000 rows, and centres and spread
+    are those of all bearings.
     """
-    t = bearings.withColumn("b", F.round("bearing", 1)).groupBy("node_id", "b").agg(F.count(F.lit(1)).alias("n"))
+    r = F.radians("bearing")
+    t = bearings.withColumn("b", F.pmod(F.round("bearing", 3), F.lit(360.0))).groupBy("node_id", "b").agg(F.count(F.lit(1)).alias("n"), F.sum(F.cos(r)).alias("c"), F.sum(F.sin(r)).alias("s"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if int(pdf["n"].sum()) < 3:
             return pd.DataFrame({"node_id": np.zeros(0, np.int64), "direction_type": np.zeros(0, object)})
         p = pdf.sort_values("b")
-        few = np.repeat(p["b"].to_numpy(), np.minimum(p["n"].to_numpy(), 3))
-        return pd.DataFrame({"node_id": [int(p["node_id"].iloc[0])], "direction_type": np.array([direction_of(few)], dtype=object)})
+        kind = direction_of(*(p[c].to_numpy() for c in ("b", "n", "c", "s")))
+        return pd.DataFrame({"node_id": [int(p["node_id"].iloc[0])], "direction_type": np.array([kind], dtype=object)})
 
     return t.groupBy("node_id").applyInPandas(run, "node_id long, direction_type string")
 

@@ -40,7 +40,7 @@ def stop_islands(df: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     t = t.withColumn("island", F.sum("edge").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = t.where("slow = 1").groupBy("ship_name", "island").agg(
         F.min("us").alias("us"), F.min_by("course", F.struct("us", "row_idx")).alias("course"), F.min_by("speed", F.struct("us", "row_idx")).alias("speed"), F.min("row_idx").alias("row_idx"),
-        F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lon"), 9).alias("lon"), F.count(F.lit(1)).alias("n_points"), ((F.max("us") - F.min("us")) / F.lit(1e6)).alias("duration"),
+        geo.mean_degrees("lat").alias("lat"), geo.mean_degrees("lon").alias("lon"), F.count(F.lit(1)).alias("n_points"), ((F.max("us") - F.min("us")) / F.lit(1e6)).alias("duration"),
     )
     return runs.where(F.col("duration") > s.stop_min_duration).drop("island")
 
@@ -50,7 +50,7 @@ def merge_stops(stops: DataFrame) -> DataFrame:
     t = stops.withColumns({"gl": geo.cell(F.col("lat"), STOP_CELL), "gn": geo.cell(F.col("lon"), STOP_CELL)})
     first = F.struct("ship_name", "us")
     return t.groupBy("gl", "gn").agg(
-        F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lon"), 9).alias("lon"), F.sum("duration").alias("duration"), F.count(F.lit(1)).alias("merged_count"),
+        geo.mean_degrees("lat").alias("lat"), geo.mean_degrees("lon").alias("lon"), F.sum("duration").alias("duration"), F.count(F.lit(1)).alias("merged_count"),
         F.min_by("ship_name", first).alias("ship_name"), F.min_by("us", first).alias("us"), F.min_by("course", first).alias("course"), F.min_by("speed", first).alias("speed"),
     )
 
@@ -72,7 +72,7 @@ def grid_nodes(points: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     typed = t.groupBy("gl", "gn", "type").agg(F.count(F.lit(1)).alias("n"))
     kinds = typed.groupBy("gl", "gn").agg(F.max_by("type", F.struct(F.col("n"), F.expr("-ascii(type)"))).alias("type"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "n")))).alias("type_distribution"))
     sums = t.groupBy("gl", "gn").agg(
-        F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lon"), 9).alias("lon"), F.count(F.lit(1)).alias("frequency"), F.count_distinct("ship_name").alias("ship_count"),
+        geo.mean_degrees("lat").alias("lat"), geo.mean_degrees("lon").alias("lon"), F.count(F.lit(1)).alias("frequency"), F.count_distinct("ship_name").alias("ship_count"),
         F.avg(sin).alias("sin"), F.avg(cos).alias("cos"),
     )
     joined = sums.join(kinds, ["gl", "gn"]).select("gl", "gn", "lat", "lon", "type", "frequency", "ship_count", "type_distribution", geo.circular_mean(F.col("sin"), F.col("cos")).alias("heading"), geo.concentration(F.col("sin"), F.col("cos")).alias("heading_concentration"))

@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +16,7 @@ from fairway.operators.router import Network, diverse
 from fairway.session import new_table, write
 
 GRAPH_LIMIT = 2_000_000
-IN_MEMORY = 200_000  # edges up to which a search runs in memory instead of in rounds
+IN_TASK = 200_000  # edges up to which a search runs in one task instead of in rounds
 
 
 def weight_maps(edges: DataFrame, features: DataFrame, nodes: DataFrame, risk: DataFrame | None = None) -> DataFrame:
@@ -66,8 +67,8 @@ def least_costs(edges: DataFrame, start: int, cost: str, most_rounds: int = 1000
     """(node, cost, before): least costs from one node by relaxation rounds over the distributed edges."""
     spark = edges.sparkSession
     e = edges.select("u", "v", F.col(cost).cast("double").alias("w"))
-    if e.count() <= IN_MEMORY:
-        return spark.createDataFrame(_search(e, start), "node long, cost double, before long")
+    if 0 < e.count() <= IN_TASK:
+        return e.coalesce(1).mapInArrow(_search(start), "node long, cost double, before long")
     best = spark.createDataFrame([(start, 0.0, None)], "node long, cost double, before long")
     front = best
     for _ in range(most_rounds):
@@ -83,22 +84,26 @@ def least_costs(edges: DataFrame, start: int, cost: str, most_rounds: int = 1000
     return best
 
 
-def _search(e: DataFrame, start: int) -> list[tuple[int, float, int | None]]:
-    out: dict[int, list[tuple[int, float]]] = {}
-    for u, v, w in e.collect():
-        out.setdefault(u, []).append((v, w))
-    best: dict[int, tuple[float, int | None]] = {start: (0.0, None)}
-    heap, done = [(0.0, start)], set()
-    while heap:
-        g, u = heapq.heappop(heap)
-        if u in done:
-            continue
-        done.add(u)
-        for v, w in out.get(u, ()):
-            if v not in best or g + w < best[v][0]:
-                best[v] = (g + w, u)
-                heapq.heappush(heap, (g + w, v))
-    return [(n, c, b) for n, (c, b) in best.items()]
+def _search(start: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, list[tuple[int, float]]] = {}
+        for b in batches:
+            for u, v, w in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), b.column("w").to_pylist(), strict=True):
+                out.setdefault(u, []).append((v, w))
+        best: dict[int, tuple[float, int | None]] = {start: (0.0, None)}
+        heap, done = [(0.0, start)], set()
+        while heap:
+            g, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done.add(u)
+            for v, w in out.get(u, ()):
+                if v not in best or g + w < best[v][0]:
+                    best[v] = (g + w, u)
+                    heapq.heappush(heap, (g + w, v))
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([c for c, _ in best.values()], pa.float64()), pa.array([p for _, p in best.values()], pa.int64())], names=["node", "cost", "before"])
+
+    return run
 
 
 def path_edges(paths: DataFrame) -> DataFrame:

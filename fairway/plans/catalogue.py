@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairway.config import DEFAULT
 from fairway.functions import geo
 from fairway.operators import clean, cluster, graph, kernels, models, motion, nodes, routing, ships, topology, weights
 from fairway.plans import oracle
@@ -142,6 +143,22 @@ def _merged_edges(b: Base) -> DataFrame:
     return topology.merge_nodes(b.nodes, b.strong)[1]
 
 
+DIRECTIONS_SQL = (
+    f"""around as (select node_id, bearing from nodes n join (select (start_lat + end_lat) / 2 as mlat, (start_lon + end_lon) / 2 as mlon, bearing from segments) on sqrt(pow(mlat - lat, 2) + pow(mlon - lon, 2)) <= {DEFAULT.direction_radius_deg!r}::double)""",
+    "bins as (select node_id, round(bearing, 3) % 360 as b, count(*) as n, sum(cos(radians(bearing))) as c, sum(sin(radians(bearing))) as s from around group by 1, 2)",
+    "chords as (select x.node_id, x.b, y.b as other, y.n from bins x join bins y on x.node_id = y.node_id and pow(cos(radians(x.b)) - cos(radians(y.b)), 2) + pow(sin(radians(x.b)) - sin(radians(y.b)), 2) <= 0.25e0)",
+    "cores as (select node_id, b from chords group by 1, 2 having sum(n) >= 3)",
+    "core_links as (select * from chords where (node_id, b) in (select (node_id, b) from cores) and (node_id, other) in (select (node_id, b) from cores))",
+    "spans(node_id, b, goal) as (select node_id, b, b from cores union select r.node_id, r.b, l.other from spans r join core_links l on l.node_id = r.node_id and l.b = r.goal)",
+    "labelled as (select node_id, b, min(goal) as k from spans group by 1, 2)",
+    "members as (select * from labelled union all select h.node_id, h.b, min(l.k) from chords h join labelled l on l.node_id = h.node_id and l.b = h.other where (h.node_id, h.b) not in (select (node_id, b) from cores) group by 1, 2)",
+    f"middles as (select node_id, k, {circ('sum(s)', 'sum(c)')} as centre from members join bins using (node_id, b) group by 1, 2)",
+    f"far as (select a.node_id, bool_or({angle('a.centre', 'b.centre')} > 150) as opposite, count(distinct a.k) as clusters from middles a join middles b on a.node_id = b.node_id group by 1)",
+    "whole as (select node_id, sum(n) as n, least(1e0, sqrt(pow(sum(c), 2) + pow(sum(s), 2)) / sum(n)) as r from bins group by 1)",
+    """kinds_of as (select node_id, case when clusters >= 3 and opposite then 'merge_point' when clusters >= 3 then 'bifurcation_point' when degrees(sqrt(-2 * ln(greatest(r, 1e-10)))) > 45 then 'turn_point' else 'waypoint' end as kind
+  from whole left join far using (node_id) where n >= 3)""",
+)
+
 CATALOGUE: dict[str, Query] = {
     # cleaning
     "ais_view": Query(lambda b: b.raw, f"{ROW_KEY} @lat @lon ~speed ~course", "select * from ais"),
@@ -187,7 +204,7 @@ CATALOGUE: dict[str, Query] = {
     "adjacent_pairs": Query(lambda b: nodes.adjacent_pairs(b.nodes), "#a #b ~dist", f"select a.node_id as a, b.node_id as b, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as dist from nodes a join nodes b on a.node_id < b.node_id and abs(a.gl - b.gl) <= 1 and abs(a.gn - b.gn) <= 1 and (a.gl, a.gn) <> (b.gl, b.gn) where {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} < 30"),
     "dp_simplify": Query(lambda b: kernels.simplify(b.points, 50.0, 200), ROW_KEY),
     "adjacent_merge": Query(lambda b: nodes.merge_adjacent(b.nodes), "#node_id @lat @lon type #frequency #ship_count #merged_nodes ~heading"),
-    "direction_types": Query(lambda b: nodes.direction_types(b.nodes, b.segments), "#node_id @lat @lon type detailed_type #frequency"),
+    "direction_types": Query(lambda b: nodes.direction_types(b.nodes, b.segments), "#node_id @lat @lon type detailed_type #frequency", "select n.*, coalesce(k.kind, n.type) as detailed_type from nodes n left join kinds_of k using (node_id)", DIRECTIONS_SQL, True),
     # clusters
     "heading_features": Query(lambda b: cluster.heading_features(b.nodes), "#node_id ~x ~y ~hx ~hy", "select node_id, (lon - ml) * 111000 * cos(radians(ma)) as x, (lat - ma) * 111000 as y, 30e0 * sin(radians(heading)) * heading_concentration as hx, 30e0 * cos(radians(heading)) * heading_concentration as hy from nodes, (select avg(lat) as ma, avg(lon) as ml from nodes)"),
     "grid_clusters": Query(lambda b: b.clustered, "#node_id #cl #cn #co is_noise", "select * from hcl"),

@@ -56,6 +56,10 @@ def by_speed(x: str) -> str:
     return "case " + " ".join(f"when {x} >= {lo} and {x} < {hi} then '{k}'" for lo, hi, k in SPEED_TYPES) + f" else '{DEFAULT_TYPE}' end"
 
 
+def mean_degrees(x: str) -> str:
+    return f"((2 * sum(round({x} * 1e9)::bigint) + count({x})) // (2 * count({x})))::double / 1e9"
+
+
 CHAIN: dict[str, str] = {
     "ais": """select concat('S', user_id::varchar) as ship_name, us, event_id as row_idx,
   round(22.5e0 + (user_id % 5) * 1e-2 + tri * 2e-3 + (event_id % 13) * 1e-5 + case when event_id % 97 = 0 then 2e-2 else 0e0 end, 6) as lat,
@@ -81,18 +85,18 @@ CHAIN: dict[str, str] = {
   from (select *, distance / time_diff * 1.944e0 as actual_speed from moved where time_diff > 0 and time_diff < 86400 and distance >= 10) where actual_speed >= 0.5""",
     "turns": f"""select ship_name, us, row_idx, lat, lon, speed, course, case when curvature > 0.001 or {angle('b_in', 'b_out')} > 30 then 'turn_point' else 'waypoint' end as type
   from (select *, {bearing('lat0', 'lon0', 'lat', 'lon')} as b_in, {bearing('lat', 'lon', 'lat2', 'lon2')} as b_out, {curve()} as curvature from led where i >= 2 and i < n - 2)""",
-    "islands": """select * from (select ship_name, min(us) as us, arg_min(course, row(us, row_idx)) as course, arg_min(speed, row(us, row_idx)) as speed, min(row_idx) as row_idx, round(avg(lat), 9) as lat, round(avg(lon), 9) as lon,
+    "islands": f"""select * from (select ship_name, min(us) as us, arg_min(course, row(us, row_idx)) as course, arg_min(speed, row(us, row_idx)) as speed, min(row_idx) as row_idx, {mean_degrees('lat')} as lat, {mean_degrees('lon')} as lon,
   count(*) as n_points, (max(us) - min(us)) / 1e6 as duration
   from (select *, sum(edge) over (partition by ship_name order by us, row_idx rows unbounded preceding) as island
         from (select *, coalesce((slow <> lag(slow) over (partition by ship_name order by us, row_idx))::int, 1) as edge from (select *, (speed < 3)::int as slow from points)))
   where slow = 1 group by ship_name, island) where duration > 300""",
-    "stops": f"""select {cell('lat', f'{STOP_CELL!r}::double')} as gl, {cell('lon', f'{STOP_CELL!r}::double')} as gn, round(avg(lat), 9) as lat, round(avg(lon), 9) as lon, sum(duration) as duration, count(*) as merged_count,
+    "stops": f"""select {cell('lat', f'{STOP_CELL!r}::double')} as gl, {cell('lon', f'{STOP_CELL!r}::double')} as gn, {mean_degrees('lat')} as lat, {mean_degrees('lon')} as lon, sum(duration) as duration, count(*) as merged_count,
   arg_min(ship_name, row(ship_name, us)) as ship_name, arg_min(us, row(ship_name, us)) as us, arg_min(course, row(ship_name, us)) as course, arg_min(speed, row(ship_name, us)) as speed from islands group by 1, 2""",
     "feats": "select ship_name, us, lat, lon, speed, course, type from turns union all select ship_name, us, lat, lon, speed, course, 'stop_point' from stops",
     "celled": f"select *, {cell('lat', '5e-4')} as gl, {cell('lon', '5e-4')} as gn from feats",
     "kinds": "select gl, gn, arg_max(type, row(n, -ascii(type))) as type from (select gl, gn, type, count(*) as n from celled group by 1, 2, 3) group by 1, 2",
     "nodes": f"""select row_number() over (order by frequency desc, gl, gn) - 1 as node_id, * exclude (s, c), {circ('s', 'c')} as heading, sqrt(s * s + c * c) as heading_concentration
-  from (select gl, gn, round(avg(lat), 9) as lat, round(avg(lon), 9) as lon, any_value(k.type) as type, count(*) as frequency, count(distinct ship_name) as ship_count, avg(sin(radians(course))) as s, avg(cos(radians(course))) as c
+  from (select gl, gn, {mean_degrees('lat')} as lat, {mean_degrees('lon')} as lon, any_value(k.type) as type, count(*) as frequency, count(distinct ship_name) as ship_count, avg(sin(radians(course))) as s, avg(cos(radians(course))) as c
         from celled join kinds k using (gl, gn) group by gl, gn)""",
     "near": f"""select node_id, lat, lon, {cell('lat', '1e-3')} + a as kl, {cell('lon', '1e-3')} + b as kn from nodes, (select unnest([-1, 0, 1]) as a), (select unnest([-1, 0, 1]) as b)""",
     "placed": f"""select p.*, node_id, d from points p join (

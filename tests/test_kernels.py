@@ -115,9 +115,47 @@ def test_greedy_and_dbscan():
     assert kernels.greedy([1, 2, 3, 4], {1: [2], 2: [1, 3], 3: [2, 4], 4: [3]}) == {1: 1, 2: 1, 3: 3, 4: 3}
     label = kernels.dbscan(np.array([[0.0], [0.1], [0.2], [5.0], [5.1], [9.0]]), 0.15, 2)
     assert label.tolist() == [0, 0, 0, 1, 1, -1]
-    assert kernels.direction_of(np.array([0, 1, 2, 180, 181, 182, 90, 91, 92.0])) == "merge_point"
-    assert kernels.direction_of(np.array([0, 1, 2.0])) == "waypoint" and kernels.direction_of(np.array([0.0])) == "waypoint"
-    assert kernels.direction_of(np.array([0, 1, 2, 60, 61, 62, 120, 121, 122.0])) == "bifurcation_point"
+
+
+def turns(values):
+    """Sorted distinct bearings with counts, summed cosines and sines."""
+    b, n = np.unique(np.array(values, dtype=float), return_counts=True)
+    return b, n, n * np.cos(np.radians(b)), n * np.sin(np.radians(b))
+
+
+def plain_direction(values):
+    """The rule over every single bearing, with clusters from all pairs."""
+    v = np.sort(np.array(values, dtype=float))
+    if len(v) < 3:
+        return "waypoint"
+    xy = np.column_stack([np.cos(np.radians(v)), np.sin(np.radians(v))])
+    label = kernels.dbscan(xy, 0.5, 3)
+    kinds = sorted(set(label[label >= 0].tolist()))
+    if len(kinds) >= 3:
+        mean = [xy[label == k].mean(axis=0) for k in kinds]
+        angle = [math.degrees(math.atan2(m[1], m[0])) % 360 for m in mean]
+        return "merge_point" if any(min(abs(a - b), 360 - abs(a - b)) > 150 for a in angle for b in angle) else "bifurcation_point"
+    r = math.hypot(*xy.mean(axis=0))
+    return "turn_point" if math.degrees(math.sqrt(-2 * math.log(min(1, max(r, 1e-10))))) > 45 else "waypoint"
+
+
+def test_directions():
+    assert kernels.direction_of(*turns([0, 1, 2, 180, 181, 182, 90, 91, 92])) == "merge_point"
+    assert kernels.direction_of(*turns([0, 1, 2])) == "waypoint" and kernels.direction_of(*turns([0])) == "waypoint"
+    assert kernels.direction_of(*turns([0, 1, 2, 60, 61, 62, 120, 121, 122])) == "bifurcation_point"
+    assert kernels.direction_of(*turns([0.0] * 100 + [90.0] * 3)) == "waypoint" and kernels.direction_of(*turns([0.0] * 3 + [90.0] * 3 + [200.0] * 3)) == "merge_point"
+    r = random.Random(8)
+    seen = set()
+    for _ in range(400):
+        centres = [r.uniform(0, 360) for _ in range(r.randint(1, 5))]
+        values = [round((r.choice(centres) + r.gauss(0, r.choice([2, 15]))) % 360, 3) % 360 for _ in range(r.randint(1, 40))]
+        values += [values[0]] * r.choice([0, 0, 30])
+        seen.add(plain_direction(values))
+        assert kernels.direction_of(*turns(values)) == plain_direction(values), values
+        b, n, *_ = turns(values)
+        every = kernels.dbscan(np.column_stack([np.cos(np.radians(np.sort(values))), np.sin(np.radians(np.sort(values)))]), 0.5, 3)
+        assert np.repeat(kernels.circular_clusters(b, n), n).tolist() == every.tolist()
+    assert len(seen) == 4
 
 
 def test_isolation_and_kde():
@@ -154,21 +192,21 @@ def test_router():
         assert [x for x, _ in got] == [x for x, _ in every[:4]]
 
 
-def test_graph_tables_in_rounds_and_in_memory(spark):
+def test_graph_tables_in_rounds_and_in_one_task(spark):
     r = random.Random(5)
     pairs = sorted({tuple(sorted(r.sample(range(40), 2))) for _ in range(45)})
     e = spark.createDataFrame(pairs, "u long, v long")
     both, costs = [], {}
-    kept = graph.IN_MEMORY, routing.IN_MEMORY
+    kept = graph.IN_TASK, routing.IN_TASK
     for limit in (0, 10**6):
-        graph.IN_MEMORY = routing.IN_MEMORY = limit
+        graph.IN_TASK = routing.IN_TASK = limit
         try:
             both.append(sorted(map(tuple, graph.components(e.toDF("a", "b")).collect())))
             both.append(sorted(map(tuple, graph.reachable(e, pairs[0][0]).collect())))
             got = routing.least_costs(e.withColumn("w", F.col("u") + 1.0), pairs[0][0], "w").collect()
             costs[limit] = sorted((x["node"], x["cost"]) for x in got)
         finally:
-            graph.IN_MEMORY, routing.IN_MEMORY = kept
+            graph.IN_TASK, routing.IN_TASK = kept
     assert both[0] == both[2] and both[1] == both[3] and costs[0] == costs[10**6]
     assert graph.components(e.toDF("a", "b").limit(0)).count() == 0
 
