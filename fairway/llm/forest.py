@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .session import bounded_batches, written
+from fairway.operators.graph import components
+from fairway.session import bounded_batches, written
 from .text import Words, buffers, grams, mix, slices
 
 TREES, DEPTH = 20, 3

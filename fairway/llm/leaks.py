@@ -1,15 +1,19 @@
 """Benchmark decontamination: short test items found inside long documents.
 
 Items are partitioned by size: class c holds items of 2**c to 2**(c + 1) - 1 distinct shingles, and
-its MinHash signature is the least floor(0.2 * (2**(c + 1) - 1)) + 1 hashes of an item. A document
-that holds 80 % of an item's shingles lacks at most a fifth of them, so it holds at least one of any
-floor(0.2 * n) + 1: the signatures find every such document, whatever its length, where a signature
-of the document would drown the item. Documents with a signature hash are then verified by the exact
-share of the item's shingles they hold.
+its MinHash signature is the least floor(0.2 * (2**(c + 1) - 1)) + ``SPARE`` hashes of an item (all, if it
+has fewer). A document that holds 80 % of an item's n shingles lacks at most floor(0.2 * n) of them,
+so of a signature of s hashes it holds at least s - floor(0.2 * n): documents below that estimate of
+containment go, and none that holds the item is among them, whatever its length. A signature of the
+document would drown the item, so documents are looked up with all their shingles. What is left is
+verified by the exact share of the item's shingles.
 
 A shingle is ``shingle`` consecutive words; words are runs of letters and digits in lower case. Items
-under that many words have no shingle and match nothing, as do null and empty texts. Rows that share
-a doc_id are told apart by their texts and reported once. Only JVM expressions are used.
+under that many words have no shingle and match nothing, as do null and empty texts; an empty table
+of either kind finds nothing. Rows that share a doc_id, or have none, are told apart by their texts
+(by a 64-bit hash of it), so a leak in one takes no other row with it; equal rows are one. Equal items
+are each found. Very long texts are whole. Other columns pass through, whatever their names.
+Only JVM expressions are used. Item shingles are broadcast only up to BROADCAST_BYTES.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 CONTAINED = 0.8
-BROADCAST_ROWS = 200_000
+SPARE = 4
+BROADCAST_BYTES = 16 << 20
 NO_ID = -(1 << 63)
 
 
@@ -40,34 +45,48 @@ def item_shingles(items: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return sets.select("item_id", F.size("hs").alias("n"), F.posexplode("hs").alias("p", "h")).select("item_id", "n", "h", (F.col("p") + 1).alias("rank"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, contained: float = CONTAINED) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment) of every document that holds an item."""
+def found_leaks(rows: DataFrame, items: DataFrame, shingle: int = SHINGLE, contained: float = CONTAINED) -> DataFrame:
+    """(doc_id, text_key, item_id, n, n_shared) of every row (doc_id, text_key, text) that holds an item."""
     percent = round(100 * contained)
-    rows = docs.where("text is not null").select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), docs["text"].alias("text"))
     parts = item_shingles(items, shingle)
     top = F.pow(F.lit(2), F.floor(F.log2("n")) + 1) - 1  # largest size of the class
-    signature = parts.where(F.col("rank") <= F.floor(top * (100 - percent) / 100) + 1).select("item_id", "h")
-    sized = parts.count()
+    lacks = lambda n: F.floor(n * (100 - percent) / 100)
+    length = F.least(F.col("n"), lacks(top) + SPARE)
+    signature = parts.where(F.col("rank") <= length).select("item_id", "h", (length - lacks(F.col("n"))).cast("int").alias("need"))
+    size = parts.agg(F.sum(F.lit(32) + F.length(F.col("item_id").cast("string")))).first()[0] or 0
 
     def small(df: DataFrame) -> DataFrame:  # beyond the bound the join shuffles
-        return F.broadcast(df) if sized <= BROADCAST_ROWS else df
+        return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
     shingled = rows.select("doc_id", "text_key", _words(F.col("text")).alias("w")).select("doc_id", "text_key", F.explode(_hashes(F.col("w"), shingle)).alias("h"))
-    candidates = shingled.join(small(signature), "h").select("doc_id", "text_key", "item_id").distinct()
+    hits = shingled.join(small(signature), "h").select("doc_id", "text_key", "item_id", "need", "h").distinct()
+    candidates = hits.groupBy("doc_id", "text_key", "item_id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need")
     wanted = candidates.groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("items"))
     # words are a column of their own: inside the hashing lambda they would be split anew for every word
-    again = rows.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "items", _words(F.col("text")).alias("w"))
+    again = rows.join(wanted.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "items", _words(F.col("text")).alias("w"))
     again = again.select("doc_id", "text_key", "items", F.explode(F.array_distinct(_hashes(F.col("w"), shingle))).alias("h"))
     held = again.join(small(parts), "h").where(F.array_contains("items", F.col("item_id")))
-    counted = held.groupBy("doc_id", "text_key", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared")).where(100 * F.col("n_shared") >= percent * F.col("n"))
-    once = counted.groupBy("doc_id", "item_id", "n").agg(F.max("n_shared").alias("n_shared"))
+    return held.groupBy("doc_id", "text_key", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared")).where(100 * F.col("n_shared") >= percent * F.col("n"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.where("text is not null").select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), docs["text"].alias("text"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, contained: float = CONTAINED) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared, containment) of every document that holds an item."""
+    once = found_leaks(_rows(docs), items, shingle, contained).groupBy("doc_id", "item_id", "n").agg(F.max("n_shared").alias("n_shared"))
     return once.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "item_id", F.col("n").cast("long").alias("n_item"), F.col("n_shared").cast("long").alias("n_shared"), F.round(F.col("n_shared") / F.col("n"), 6).alias("containment"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item; all columns stay."""
-    found = leaks(docs, items).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__leak")).distinct()
-    return docs.join(found.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == found["__leak"], "left_anti")
+    """The rows whose own text holds no item; all columns stay."""
+    names = docs.columns
+    alias = [f"c{i}" for i in range(len(names))]
+    at = {c: alias[names.index(c)] for c in ("doc_id", "text")}
+    keyed = docs.toDF(*alias).withColumns({"doc_id": F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(NO_ID)), "text_key": F.xxhash64(at["text"])})
+    found = found_leaks(_rows(docs), items).select("doc_id", "text_key").distinct()
+    return keyed.join(found.hint("merge"), ["doc_id", "text_key"], "left_anti").select(*alias).toDF(*names)
 
 
 def sql(source: str, shingle: int = SHINGLE, contained: float = CONTAINED) -> str:

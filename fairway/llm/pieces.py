@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .session import bounded_batches
+from fairway.session import bounded_batches
 
 MARK = "▁"
 KNOWN_WORDS = 700_000

@@ -6,9 +6,12 @@ hashed words (log counts, to unit length), statistics of structure and the text'
 language, source and doc_id are never features.
 
 The model is fitted on the driver from at most ``MAX_LABELLED`` labelled rows (those of least hash
-of their doc_id); everything else runs over all rows. Null and empty texts have the features of an
-empty text. Repeated rows get equal scores. Of several labels of one doc_id the largest counts; with
-no label at all the score is 0.5.
+of their doc_id, then text); everything else runs over all rows. Null and empty texts have the
+features of an empty text, very long ones are whole. Repeated rows get equal scores and are learned
+from once; rows that share a labelled doc_id all bear its label. Of several labels of one doc_id the
+largest counts; labels without a doc_id or a quality do not; with no label at all the score is 0.5.
+A row without doc_id is scored and is not held out. An empty table gives an empty one. Other columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import bounded_batches
+from fairway.session import bounded_batches
 from .text import Words, buffers, slices
 
 MAX_LABELLED = 6000
@@ -162,7 +165,7 @@ class Machine:
 
 def held_out(doc_id) -> F.Column:
     """Rows whose labels are never learned from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +184,14 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(F.broadcast(known), "doc_id")
-    packed = texts.select("label", "text").mapInArrow(_packed, "label int, numbers binary, values binary").collect()  # max_labelled rows at most, but for repeated doc_ids
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("text_key"))
+    keys = texts.select("doc_id", "text_key").join(F.broadcast(known), "doc_id").distinct()  # at most max_labelled ids
+    keys = keys.orderBy(F.xxhash64("doc_id"), "doc_id", "text_key").limit(max_labelled)
+    chosen = texts.join(F.broadcast(keys), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    packed = chosen.select("label", "text").mapInArrow(_packed, "label int, numbers binary, values binary").collect()  # max_labelled rows at most
     rows = [(r[0], np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32).astype(np.float64)) for r in packed]
     rows.sort(key=lambda r: (len(r[1]), r[0], r[2].tobytes()))
-    return Machine().fit(rows[: 2 * max_labelled])
+    return Machine().fit(rows)
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
@@ -205,8 +211,8 @@ def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
             out = np.zeros(b.num_rows)
             for lo, hi in slices(offsets, SLICE):
                 out[lo:hi] = m.scores(*features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(out, 9))], names=[*alias, "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(out, 9))], names=[*alias, "score"])
 
-    schema = T.StructType([*(T.StructField(a, f.dataType) for a, f in zip(alias, docs.schema, strict=True)), T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([*(T.StructField(a, f.dataType) for a, f in zip(alias, docs.schema, strict=True)), T.StructField("score", T.DoubleType())])
     scored = docs.toDF(*alias).mapInArrow(run, schema)
     return scored.toDF(*names, "score")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import forest, leaks, lines, pieces, quality, ring, substrings, syncmers, tokens, urls
-from .session import table
+from fairway.session import table
 
 TOKEN_LIMIT = 1024
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import bounded_batches, delete, new_table, write, written
+from fairway.session import bounded_batches, delete, new_table, write, written
 from .text import Words, buffers, grams, slices, sliding, starts_inside
 
 WINDOW, GRAM = 20, 8

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import bounded_batches
+from fairway.session import bounded_batches
 from .text import grams, mix, sliding
 
 K, S, ANCHORS = 14, 6, 96

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .session import bounded_batches
+from fairway.session import bounded_batches
 
 PIECE_CHARS = 1 << 14
 GROUP_BYTES = 1 << 18

@@ -164,33 +164,41 @@ def test_syncmers_empty_single_null_and_repeated(spark):
 
 
 def line_brute(found, min_docs):
-    masked = {}
+    """Line by line: leaf, template, then the units of both counts."""
+    masked, raw = {}, {}
     for i, t in found:
         for p, line in enumerate((t or "").split("\n") if t is not None else []):
             w = WORD.findall(line)
-            if len(w) >= lines.MIN_TOKENS:
+            if w:
+                raw[(i, p)] = w
                 masked[(i, p)] = ["<*>" if re.search("[0-9]", x) else x for x in w]
     texts = dict(found)
+    wide = lambda n: lines.SHORT_DOCS if n < lines.MIN_TOKENS else min_docs
+    close = lambda n: next((k for least, k in lines.LONG if n >= least), None)
     leaves = {}
     for k, w in masked.items():
-        leaves.setdefault((len(w), tuple(w[: lines.LEAD])), []).append(k)
+        bare = len(w) < lines.MIN_TOKENS and set(w) == {"<*>"}
+        leaves.setdefault((len(w), tuple((raw[k] if bare else w)[: lines.LEAD])), []).append(k)
     units = {}
     for leaf, keys in leaves.items():
-        if len({texts[i] for i, _ in keys}) < min_docs:
+        n = leaf[0]
+        if len({texts[i] for i, _ in keys}) < min(wide(n), close(n) or wide(n)):
             continue
         model = []
-        for at in range(leaf[0]):
+        for at in range(n):
             c = {}
             for k in keys:
                 c[masked[k][at]] = c.get(masked[k][at], 0) + 1
-            n, w = max((n, w) for w, n in c.items())
-            model.append(w if 2 * n >= len(keys) else "<*>")
+            most, w = max((m, w) for w, m in c.items())
+            model.append(w if 2 * most >= len(keys) and most >= 2 else "<*>")
         for k in keys:
             same = sum(a == b for a, b in zip(masked[k], model, strict=True))
-            units.setdefault(leaf if same >= lines.SIMILARITY * leaf[0] else (leaf, tuple(masked[k])), []).append(k)
+            for part, need in ((lines.SIMILARITY, wide(n)), (lines.CLOSE, close(n))):
+                if need:
+                    units.setdefault((part, need, leaf if same >= part * n else (leaf, tuple(masked[k]))), []).append(k)
     gone = set()
-    for keys in units.values():
-        if len({texts[i] for i, _ in keys}) >= min_docs:
+    for (_, need, _), keys in units.items():
+        if len({texts[i] for i, _ in keys}) >= need:
             gone |= set(keys) - {min(keys)}
     return {i: None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in found}
 
@@ -214,6 +222,14 @@ def test_lines_empty_and_repeated_rows(spark):
     assert len(got) == 5 and {r["text"] for r in got if r["doc_id"] == 1} == {"x", "other text of one"}
 
 
+def test_lines_of_a_hot_template(spark):
+    r = random.Random(2)
+    found = [(i, f"the hot line {i} of all pages\n{r.random()} own words number {i} here\nthe hot line {i + 1} of all pages") for i in range(200)]
+    found += [(300 + i, f"rare line kind {i % 9} " + " ".join(r.choice("abcd") for _ in range(4))) for i in range(60)]
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(found, "doc_id long, text string").repartition(7)).collect()}
+    assert got == line_brute(found, lines.MIN_DOCS) and "hot" not in got[5]
+
+
 # 4 --------------------------------------------------------------------------
 
 
@@ -280,11 +296,11 @@ def test_leaks(spark):
     d = spark.createDataFrame(found, "doc_id long, text string")
     b = spark.createDataFrame([(i, " ".join(t)) for i, t in items] + [(9, None)], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, b).collect()} == want and len(want) > 8
-    old, leaks.BROADCAST_ROWS = leaks.BROADCAST_ROWS, 0
+    old, leaks.BROADCAST_BYTES = leaks.BROADCAST_BYTES, 0
     try:
         assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(d, b).collect()} == want
     finally:
-        leaks.BROADCAST_ROWS = old
+        leaks.BROADCAST_BYTES = old
     kept = {r["doc_id"] for r in leaks.without_leaks(d, b).collect()}
     assert kept == {k for k, _ in found} - {k for k, _ in want}
     assert leaks.leaks(d.limit(0), b).count() == 0 and leaks.leaks(d, b.limit(0)).count() == 0
@@ -497,7 +513,7 @@ def test_lines_of_all_lengths(spark):
     want = {i: t.replace("\nAll rights reserved.", "") if 0 < i < 20 else t for i, t in found}
     want[31] = found[21][1].split("\n")[1]
     want |= {i: want[i].split("\n")[0] for i in (32, 41, 42, 43, 44)}
-    assert {x["doc_id"]: x["text"] for x in lines.dedup_lines(df, whole=True).collect()} == want
+    assert {x["doc_id"]: x["text"] for x in lines.dedup_lines(df).collect()} == want
     import corpus_pipeline
 
     staged = corpus_pipeline.dedup_lines(spark, df.withColumn("n_chars", F.length("text")), "")
@@ -547,3 +563,33 @@ def test_near_dedup_of_shared_and_missing_ids(spark):
     got = [(x["doc_id"], x["text"]) for x in kept.collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, [(None, a), (1, b), min((x for x in got if x[1] in (c, near)), key=repr), (8, None), (8, ""), (None, None)]))
     assert all(i is None for i, t in got if t in (a, c, near))
+
+
+def test_stages_take_clashing_names_and_awkward_rows(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    item = next(r["text"] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect() if len(r["text"].split()) > 12)
+    say = lambda i: " ".join(f"clean{i}word{j}" for j in range(30))
+    found = [(None, "before " + item), (None, say(1)), (5, item + " after"), (5, say(2)), (6, say(3)), (6, say(3)), (7, None), (8, ""), (9, " ".join(say(k) for k in range(100, 900)))]
+    clash = ["score", "__score", "__lines", "__dropped", "n_lines", "n_dropped", "row", "__row", "n", "text_key", "label", "leaf", "c0"]
+    docs = spark.createDataFrame([(i, t, *range(len(clash))) for i, t in found], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in clash)).repartition(3)
+    kept = lambda df: sorted(repr((r["doc_id"], r["text"])) for r in df.collect())
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns and all([r[c] for c in clash] == list(range(len(clash))) for r in out.collect())
+        assert stage(spark, docs.limit(0), d).count() == 0
+    assert kept(corpus_pipeline.drop_leaks(spark, docs, d)) == sorted(repr(x) for x in found if x not in (found[0], found[2]))
+    assert kept(corpus_pipeline.dedup_documents(spark, docs, d)) == sorted(repr(x) for x in found[:2] + found[3:5] + found[6:])
+    assert kept(corpus_pipeline.dedup_lines(spark, docs, d)) == sorted(map(repr, found))
+    assert corpus_pipeline.encode(spark, docs, d).where("decodes or token_ids is null").count() == len(found)
+
+
+def test_quality_learns_from_each_row_once(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    once = [(i, ("good plain words of text " if i % 2 else "zz!! zz!! zz!! ") * 5 + str(i)) for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    one, many = (quality.train(spark.createDataFrame(x, "doc_id long, text string").repartition(3), labels) for x in (once, once * 7))
+    assert np.array_equal(one.w, many.w) and one.bias == many.bias
+    assert not quality.train(spark.createDataFrame(once, "doc_id long, text string"), labels.limit(0)).fitted
+    assert spark.createDataFrame([(None,), (0,)], "doc_id long").select(quality.held_out(F.col("doc_id")).alias("h")).where("h is null").count() == 0
