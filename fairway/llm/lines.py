@@ -38,17 +38,20 @@ SHORT_DOCS = 20
 LONG = ((50, 2), (20, 5))
 CLOSE = 0.8
 NO_ID = -(1 << 63)
-_GAP = r"[\x20\x09-\x0D]+"
-#: A token with a digit, from its first character on, so no character is read twice.
-_FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+_RARE_GAPS = "\t\x0b\x0c\r"  # besides the space; a line break parts lines
 
 
 def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(line, _GAP), "")
+    """Parts at single spaces, which needs no pattern; the rare other gaps become spaces first."""
+    odd = F.lit(False)
+    for c in _RARE_GAPS:
+        odd |= F.contains(line, F.lit(c))
+    spaced = F.when(odd, F.translate(line, _RARE_GAPS, " " * len(_RARE_GAPS))).otherwise(line)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def _masked(line: Column) -> Column:
-    return _tokens(F.regexp_replace(line, _FIELD, "<*>"))
+def _masked(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -60,15 +63,17 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         close = F.when(size >= least, texts).otherwise(close)
     lines = docs.where("text is not null").select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     # tokens are a column while the leaf is found, so lines are split once; only the line itself moves
-    lines = lines.select("*", _masked(F.col("line")).alias("tokens")).where(size >= 1)
-    bare = (size < MIN_TOKENS) & F.forall("tokens", lambda t: t == "<*>")
-    leaf = F.xxhash64(size, F.when(bare, _tokens(F.col("line"))).otherwise(F.slice("tokens", 1, LEAD)))
+    lines = lines.select("*", _tokens(F.col("line")).alias("tokens")).where(size >= 1)
+    bare = (size < MIN_TOKENS) & F.forall("tokens", lambda t: t.rlike("[0-9]"))
+    lead = F.slice("tokens", 1, LEAD)
+    leaf = F.xxhash64(size, F.when(bare, lead).otherwise(_masked(lead)))
     lines = lines.select("doc_id", "text_key", "place", "line", leaf.alias("leaf"), F.least(wide, close).alias("need"))
     by_text = lines.groupBy("leaf", "text_key").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("n"))
     shared = by_text.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("need").alias("need"), F.sum("n").alias("n")).where(F.col("texts") >= F.col("need"))
     shared = written(shared.select("leaf", "n"), "leaves")
     full = spread_join(lines.drop("need"), shared, "leaf", "n", ["doc_id", "place"])
-    full = written(full.select("doc_id", "text_key", "place", "leaf", _masked(F.col("line")).alias("tokens")), "lines")
+    full = full.select("doc_id", "text_key", "place", "leaf", F.col("line").rlike("[0-9]").alias("fields"), _tokens(F.col("line")).alias("tokens"))
+    full = written(full.select("doc_id", "text_key", "place", "leaf", F.when(F.col("fields"), _masked(F.col("tokens"))).otherwise(F.col("tokens")).alias("tokens")), "lines")
     held = full.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
     modal = held.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
     fixed = (2 * F.col("top.n") >= F.col("all")) & (F.col("top.n") >= 2)
