@@ -62,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op10_sql() -> str:
-    weights, bias = urls.fit(urls.LABELLED)
+    weights, bias = urls.production_model()
     table = "[" + ", ".join(str(round(x * 1e6)) for x in weights) + "]"
     rules = ", ".join(f"('{says}', '{text[: text.index('/')]}', '{text[text.index('/') :]}', '{text}')" for says, text in urls.RULES)
     return f"""
@@ -82,7 +82,7 @@ fits as (
   select page_id, max_by(rule, length(rule)) as rule, max_by(says, length(rule)) as says
   from parts, rules where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
 select s.page_id, host, path, rule,
-       coalesce(says, case when {bias} + coalesce(total, 0)::double / 1e6 / sqrt(greatest(n, 1)::double) > 0 then 'block' else 'allow' end) as verdict
+       coalesce(says, case when {bias} + coalesce(total, 0)::double / 1e6 / sqrt(greatest(n, 1)::double) > {urls.CUT} then 'block' else 'allow' end) as verdict
 from scored s left join fits f on s.page_id = f.page_id"""
 
 
