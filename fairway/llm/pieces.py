@@ -5,14 +5,20 @@ of marks that follows another character. No piece of the vocabulary crosses such
 marked word is encoded alone. The distinct words of a batch are sorted, which is a depth-first walk
 of their trie: a word takes over the forward values of the prefix it shares with the word before it.
 
-Forward values: for a unigram model the best score of every prefix (Viterbi). For a BPE model the
-value of a prefix is the last piece of its merge encoding; it is the one piece that fits behind the
+Forward values: for a unigram model the best score of every prefix of the word (Viterbi). The library
+adds up the whole text in single precision, so of ways that score the same, such as the same pieces
+in another order, it may take another one. For a BPE model the value of a prefix is the last piece of its merge encoding; it is the one piece that fits behind the
 value of the shorter prefix, where a pair fits if merging its joined text gives the pair back.
 Maximising raw BPE scores would not give the library's ids. Words with two or more leading marks
 (runs of spaces share one score in such models) are merged directly.
 
-Null gives null ids; an empty text gives none. Decoding is exact for every text without the mark
-character U+2581, which becomes a space as in the library.
+The kind of model and its normaliser are read from the file. Models that would need more than this
+(a character map, removal of extra spaces, pieces given by the user, marks behind or inside words,
+other kinds) are refused rather than encoded wrongly.
+
+Null gives null ids; an empty text gives none. Repeated rows are encoded each, very long texts whole,
+an empty table gives an empty one; other columns pass through only where ``keep`` names them.
+Decoding is exact for every text without the mark character U+2581, which becomes a space as in the library.
 """
 
 from __future__ import annotations
@@ -41,8 +47,8 @@ _loaded: dict[str, PieceModel] = {}
 class PieceModel:
     """Vocabulary with scores, and the forward pass over sorted words."""
 
-    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], unknown: int, kind: str = "bpe", banned: frozenset[int] = frozenset()):
-        self.kind, self.unknown, self.byte_ids = kind, unknown, byte_ids
+    def __init__(self, pieces: list[tuple[str, float]], byte_ids: dict[int, int], unknown: int, kind: str = "bpe", banned: frozenset[int] = frozenset(), prefix: bool = True):
+        self.kind, self.unknown, self.byte_ids, self.prefix = kind, unknown, byte_ids, MARK if prefix else ""
         skip = set(byte_ids.values()) | banned | {unknown}
         self.text = [p for p, _ in pieces]
         self.ids = {p: i for i, (p, _) in enumerate(pieces) if i not in skip}
@@ -68,12 +74,15 @@ class PieceModel:
     def from_file(cls, path: str) -> PieceModel:
         import sentencepiece
 
+        kind, prefix = _model_kind(path)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         every = [(sp.id_to_piece(i), sp.get_score(i)) for i in range(n)]
         byte_ids = {int(every[i][0][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         banned = frozenset(i for i in range(n) if sp.is_control(i) or sp.is_unused(i))
-        return cls(every, byte_ids, sp.unk_id(), "bpe", banned)
+        if any(MARK in p.lstrip(MARK) for i, (p, _) in enumerate(every) if i not in banned):
+            raise ValueError(f"{path}: pieces reach over words")
+        return cls(every, byte_ids, sp.unk_id(), kind, banned, prefix)
 
     # merges -----------------------------------------------------------------
 
@@ -150,27 +159,30 @@ class PieceModel:
             yield word, self._back(word, last, size)
 
     def _walk_scores(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        last, size, best = [0], [0], [0.0]
+        last, size, best = [0], [0], [np.float32(0)]
         longest, find = self.longest, self.finder.iter
-        floor = min(self.score, default=0.0) - 10.0
+        lowest = np.float32(min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0)
+        score = np.array(self.score, dtype=np.float32)
         previous = ""
         for word in words:
             same = _shared(previous, word)
             del last[same + 1 :], size[same + 1 :], best[same + 1 :]
-            for at in range(same, len(word)):
-                last.append(0)
-                size.append(1)
-                best.append(-float("inf"))
             base = max(0, same - longest + 1)
             ends: dict[int, list[tuple[int, int]]] = {}
             for e, found in find(word[base:] if base else word):
                 ends.setdefault(base + e + 1, []).append(found)
             for end in range(same + 1, len(word) + 1):
-                best[end] = best[end - 1] + floor
-                for k, n in ends.get(end, ()):
-                    value = best[end - n] + self.score[k]
-                    if value > best[end]:
-                        best[end], last[end], size[end] = value, k, n
+                ways = sorted(((n, k) for k, n in ends.get(end, ())), reverse=True)
+                if not ways or ways[-1][0] != 1:  # only a character that is no piece is unknown
+                    ways.append((1, 0))
+                top = None
+                for n, k in ways:
+                    value = best[end - n] + (score[k] if k else lowest)
+                    if top is None or value > top[0]:
+                        top = value, k, n
+                best.append(top[0])
+                last.append(top[1])
+                size.append(top[2])
             previous = word
             yield word, self._back(word, last, size)
 
@@ -231,7 +243,7 @@ class PieceModel:
             start = at
             while at < len(texts) and (at == start or len(words) < WORDS_AT_ONCE):
                 if t := texts[at]:
-                    words += self.words(MARK + t.replace(" ", MARK))
+                    words += self.words(self.prefix + t.replace(" ", MARK))
                 ends.append(len(words))
                 at += 1
             if len(self.place) > KNOWN_WORDS:
@@ -246,14 +258,18 @@ class PieceModel:
             self.used += np.bincount(places, minlength=len(self.ends))
             values, size = _gather(np.frombuffer(self.flat, dtype=np.int32) if self.flat else np.zeros(0, np.int32), np.frombuffer(self.ends, dtype=np.int64) if self.ends else np.zeros(0, np.int64), places)
             cut = np.concatenate([[0], np.cumsum(size)])[ends]
-            out += [None if texts[start + i] is None else values[cut[i] : cut[i + 1]] for i in range(at - start)]
+            for i in range(at - start):
+                ids = values[cut[i] : cut[i + 1]]
+                if not self.byte_ids and len(ids):  # unknown characters in a row are one piece
+                    ids = ids[(ids != self.unknown) | np.concatenate([[True], ids[:-1] != self.unknown])]
+                out.append(None if texts[start + i] is None else ids)
         return out
 
     def decode(self, ids) -> str:
         """Text of ids: pieces joined, bytes put together as UTF-8, marks to spaces, the first one dropped."""
         if not self.high or not self.high.intersection(ids):  # no byte of a character of several bytes
             joined = "".join(map(self.plain.__getitem__, ids)).replace(MARK, " ")
-            return joined[1:] if joined[:1] == " " else joined
+            return joined[1:] if self.prefix and joined[:1] == " " else joined
         out: list[str] = []
         held = bytearray()
         for i in ids:
@@ -268,7 +284,49 @@ class PieceModel:
         if held:
             out.append(held.decode("utf-8", "replace"))
         joined = "".join(out).replace(MARK, " ")
-        return joined[1:] if joined[:1] == " " else joined
+        return joined[1:] if self.prefix and joined[:1] == " " else joined
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a protocol buffer message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            value |= (b & 127) << shift
+            if b < 128:
+                return value
+            shift += 7
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            n = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, data[at : at + n]
+            at += n
+
+
+def _model_kind(path: str) -> tuple[str, bool]:
+    """Kind of a model file and whether a mark goes in front; refuses what the encoder does not do.
+
+    Fields of the public format: 1 pieces (3 type), 2 trainer (3 kind, 24 mark behind the word), 3 normaliser (2 character map,
+    3 mark in front, 4 extra spaces removed, 5 spaces escaped).
+    """
+    with open(path, "rb") as f:
+        parts = list(_fields(f.read()))
+    trainer, rule = ({k: v for n, part in parts if n == which for k, v in _fields(part)} for which in (2, 3))
+    kind = {1: "unigram", 2: "bpe"}.get(trainer.get(3, 1))
+    if kind is None or trainer.get(24, 0) or rule.get(2) or rule.get(4, 1) or not rule.get(5, 1):
+        raise ValueError(f"{path}: this kind of model or normaliser is not handled")
+    if any(dict(_fields(part)).get(3, 1) == 4 for n, part in parts if n == 1):
+        raise ValueError(f"{path}: pieces given by the user are not handled")
+    return kind, bool(rule.get(3, 1))
 
 
 def _gather(flat: np.ndarray, ends: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

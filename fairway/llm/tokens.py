@@ -74,7 +74,7 @@ def lengths(texts: list[str], path: str) -> list[int]:
             if part:
                 group.append(part)
                 owner.append(row)
-                held += len(part)
+                held += len(part) if part.isascii() else len(part.encode())
                 if held >= GROUP_BYTES:
                     flush()
     if group:
