@@ -86,6 +86,34 @@ select s.page_id, host, path, rule,
 from scored s left join fits f on s.page_id = f.page_id"""
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_OP4_SQL = f"""
+with cut as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
+windows as (
+  select doc_id, s, array_to_string(ws[s:s + {substrings.WINDOW - 1}], ' ') as t from (select doc_id, ws, unnest(range(1, len(ws) - {substrings.WINDOW - 2})) as s from cut)),
+ranked as (select doc_id, s, row_number() over (partition by t order by doc_id, s) as k from windows),
+gone as (select distinct doc_id, unnest(range(s, s + {substrings.WINDOW})) as at from ranked where k > 1),
+spread as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as at from cut),
+kept as (select doc_id, string_agg(w, ' ' order by at) as t from spread anti join gone using (doc_id, at) group by doc_id),
+counted as (select doc_id, count(*) as n from gone group by doc_id)
+select c.doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from cut c left join kept k on k.doc_id = c.doc_id left join counted g on g.doc_id = c.doc_id"""
+
+_OP6_SQL = f"""
+with recursive cut as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as ws from documents),
+sets as (
+  select distinct doc_id, array_to_string(ws[s:s + 3], ' ') as h from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) as s from cut where len(ws) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b from sets a join sets b on a.h = b.h join sizes x on x.doc_id = a.doc_id join sizes y on y.doc_id = b.doc_id where a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach(doc_id, goal) as (select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join links l on l.a = r.goal),
+least_of as (select doc_id, min(goal) as component_id from reach group by doc_id)
+select l.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, l.doc_id = component_id as kept from least_of l left join sizes s on s.doc_id = l.doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_syncmers": op2_syncmers,
@@ -101,5 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_line_templates": f"with {lines.sql('documents')} select doc_id, n_lines, n_dropped, md5(text) as kept_md5 from line_dedup",
     "op5_leaks": f"with {leaks.sql('documents')} select * from leaked",
+    "op4_substrings": _OP4_SQL,
+    "op6_near_duplicates": _OP6_SQL,
     "op10_url_filter": _op10_sql(),
 }

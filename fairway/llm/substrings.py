@@ -1,27 +1,33 @@
 """Removal of repeated passages: every word in a window of ``WINDOW`` words that starts earlier elsewhere.
 
-A log-structured index of window hashes. Of every window the index keeps the hash of its least run of
+A log-structured index of window hashes. Of every window the index takes the hash of its least run of
 ``GRAM`` words (its anchor): equal windows have equal anchors, and neighbouring windows mostly share
-one, so an index row stands for about eight windows. A batch of documents becomes one immutable run
-of (hash, document, place), sorted by hash. Finding what recurs is a merge join of the runs on the
-hash. ``compact`` merges runs into one; the merged runs stay until ``drop``.
-
-Anchors found more than once name the windows that may repeat. These are verified by 96-bit hashes
-of their whole word sequences: for each the first place (smallest doc_id, then start) is kept by a
+one, so a place of an anchor stands for about eight windows. A batch of documents becomes one
+immutable run with one row for each anchor: how many places hold it, and the least and greatest hash
+of (text, place) among them, which differ if and only if two different places do. Runs are bucketed
+and sorted by anchor. ``add`` merge-joins the new run with each older one, without moving or sorting
+the older ones again, and gives the anchors that have now been seen at two places. ``MERGE_RUNS`` runs
+are compacted into one. Copies of a text hold the same places, so they make nothing recur.
+
+Anchors found this way name the windows that may repeat. These are verified by 128-bit BLAKE2
+digests of their words: for each the first place (smallest doc_id, then start) is kept by a
 partial and a final minimum, so a passage shared by a third of all documents never meets in one
-task. Every candidate window that is not such a first place repeats, and its words go.
+task, and places of very common anchors are spread over tasks. Every candidate window that is not
+such a first place repeats, and its words go.
 
-Documents with equal texts are verified once: only the smallest doc_id of equal texts goes into the
-index, and in the others every word goes that a window covers.
+Documents with equal texts are verified once: only the smallest doc_id of equal texts is looked at,
+and in the others every word goes that a window covers.
 
-Null and empty texts have no words. Texts under WINDOW words lose nothing. Rows that share a doc_id
+Null and empty texts have no words. Texts under WINDOW words lose nothing; very long ones are whole.
+An empty table gives an empty one. A null doc_id comes first. Rows that share a doc_id
 are told apart by their texts (in order of a hash of the text); rows equal in both are one document
-with equal results. Other columns are ignored.
+with equal results. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairway.session import bounded_batches, delete, new_table, write, written
+from fairway.operators.skew import spread_join
+from fairway.session import bounded_batches, new_table, written
 from .text import Words, buffers, grams, slices, sliding, starts_inside
 
 WINDOW, GRAM = 20, 8
 SLICE = 1 << 18
 MERGE_RUNS = 4
+BATCHES = 5
 NO_ID = -(1 << 63)  # stands for a null doc_id, and comes first
 
 
@@ -62,12 +70,13 @@ def _places(words: Words) -> tuple[np.ndarray, np.ndarray]:
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = buffers(b.column("text"))
-        ids, keys = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("text_key").to_numpy(zero_copy_only=False)
+        kept = ["doc_id", "text_key", "batch", "text_hash"]
+        columns = [b.column(c).to_numpy(zero_copy_only=False) for c in kept]
         for lo, hi in slices(offsets, SLICE):
             words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             at, h = _places(words)
             doc = np.searchsorted(words.first, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo + doc]), pa.array(keys[lo + doc]), pa.array((at - words.first[doc]).astype(np.int32))], names=["h", "doc_id", "text_key", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((at - words.first[doc]).astype(np.int32)), *(pa.array(c[lo + doc]) for c in columns)], names=["h", "at", *kept])
 
 
 def _candidates(words: Words, row: int, places: np.ndarray) -> np.ndarray:
@@ -94,15 +103,17 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = b.column("places")
         for lo, hi in slices(offsets, SLICE):
             words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            h0 = words.hashes()
-            words.gram_hashes = grams(h0, GRAM)
-            w0, w1 = grams(h0, WINDOW), grams(words.hashes(which=1), WINDOW, 1)
+            words.gram_hashes = grams(words.hashes(), GRAM)
             found = [_candidates(words, i, np.asarray(places[lo + i].values)) for i in range(hi - lo)]
             size = np.fromiter(map(len, found), dtype=np.int64, count=hi - lo)
             row = np.repeat(np.arange(hi - lo), size)
             start = np.concatenate(found) if found else np.zeros(0, np.int64)
             at = words.first[row] + start
-            yield pa.RecordBatch.from_arrays([pa.array(w0[at].view(np.int64)), pa.array((w1[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[lo + row]), pa.array(keys[lo + row]), pa.array(start.astype(np.int32))], names=["h", "h2", "doc_id", "text_key", "start"])
+            joined = _joined(words.data, words.start, words.end)
+            begin = np.concatenate([[0], np.cumsum(words.end - words.start + 1)])  # of each word among the joined ones
+            spans = zip(begin[at].tolist(), (begin[at + WINDOW] - 1).tolist(), strict=True)
+            digest = np.frombuffer(b"".join(hashlib.blake2b(joined[x:y], digest_size=16).digest() for x, y in spans), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(ids[lo + row]), pa.array(keys[lo + row]), pa.array(start.astype(np.int32))], names=["d1", "d2", "doc_id", "text_key", "start"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,52 +161,73 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 
 class WindowIndex:
-    """Runs of anchor hashes under one folder. Runs are immutable; adding and merging write new ones."""
+    """Runs of anchors, each a bucketed and sorted table. Runs are immutable; adding and compacting write new ones."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
+    def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.folder = folder or new_table(spark, "windows")
+        self.name = f"fairway_run_{uuid.uuid4().hex}"
+        self.folder = new_table(spark, "windows")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.made = 0
         self.runs: list[str] = []
-        self.old: list[str] = []
-
-    def _write(self, rows: DataFrame) -> None:
-        path = f"{self.folder}/run-{len(self.runs) + len(self.old)}"
-        write(rows.sortWithinPartitions("h"), path)
-        self.runs.append(path)
 
-    def add(self, docs: DataFrame) -> None:
-        """Index a batch: doc_id, text_key, text. What it repeats of itself or of older runs shows in ``recurring``."""
-        rows = docs.mapInArrow(_run_rows, "h long, doc_id long, text_key int, at int")
-        self._write(rows)
+    def _write(self, rows: DataFrame) -> str:
+        """A run of rows that are grouped by anchor, so that each bucket is one file."""
+        self.made += 1
+        name = f"{self.name}_{self.made}"
+        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.folder}/{self.made}").format("parquet").saveAsTable(name)
+        return name
+
+    def add(self, places: DataFrame) -> DataFrame:
+        """Index a batch of places (h, text_hash, at). Gives (h, n): its anchors seen at two places of texts by now, in n places at least."""
+        place = F.xxhash64("text_hash", "at")
+        name = self._write(places.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("n")))
+        key = "spark.sql.legacy.bucketedTableScan.outputOrdering"  # files of a bucket are read in their order
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "true")
+        try:
+            new = self.spark.table(name)
+            for i, run in enumerate(self.runs):
+                old = self.spark.table(run).select("h", F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}"), F.col("n").alias(f"n{i}"))
+                new = new.join(old.hint("merge"), "h", "left")
+            count = range(len(self.runs))
+            lo = F.least("lo", *(f"lo{i}" for i in count)) if self.runs else F.col("lo")
+            hi = F.greatest("hi", *(f"hi{i}" for i in count)) if self.runs else F.col("hi")
+            total = sum((F.coalesce(f"n{i}", F.lit(0)) for i in count), F.col("n"))
+            found = written(new.where(lo != hi).select("h", total.alias("n")), "found")
+        finally:
+            self.spark.conf.set(key, before)
+        self.runs.append(name)
         if len(self.runs) >= MERGE_RUNS:
             self.compact()
-
-    def rows(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs)
+        return found
 
     def compact(self) -> None:
         """Merge all runs into one."""
-        runs = self.runs
-        rows = self.rows()
-        self.old += runs
-        self.runs = []
-        self._write(rows.repartition("h"))
+        rows = self.rows().groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+        merged = self._write(rows)
+        for run in self.runs:
+            self.spark.sql(f"drop table {run}")  # its files stay until the folder goes
+        self.runs = [merged]
 
-    def recurring(self) -> DataFrame:
-        """(doc_id, text_key, at) of every anchor whose hash is in the index more than once."""
-        counted = self.rows().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        return self.rows().join(counted, "h", "left_semi").drop("h")
+    def rows(self) -> DataFrame:
+        out = self.spark.table(self.runs[0])
+        for run in self.runs[1:]:
+            out = out.unionByName(self.spark.table(run))
+        return out
 
     def drop(self) -> None:
-        """Remove the files."""
-        delete(self.spark, self.folder)
+        """Forget the runs; their files go with the folder."""
+        for run in self.runs:
+            self.spark.sql(f"drop table {run}")
+        self.runs = []
 
 
-def remove_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (words joined by one space) of every document.
 
-    The documents enter the index in ``batches`` parts by hash of doc_id; the parts only bound the
-    work at a time, as what recurs is judged over all runs.
+    The documents enter the index in ``batches`` parts by hash of doc_id, one after the other, as they
+    would arrive; each part is joined with the runs of those before it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -203,19 +235,25 @@ def remove_repeats(docs: DataFrame, batches: int = 2) -> DataFrame:
     several = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     rows = rows.withColumn("text_key", F.hash("text") if several else F.lit(0))
     key = ["doc_id", "text_key"]
+    cut = rows.withColumns({"batch": F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"), "text_hash": F.xxhash64("text")})
+    anchors = written(cut.mapInArrow(_run_rows, "h long, at int, doc_id long, text_key int, batch int, text_hash long"), "anchors")
     index = WindowIndex(spark)
+    found = None
     for i in range(batches):
-        index.add(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
+        part = index.add(anchors.where(F.col("batch") == i))
+        found = part if found is None else found.unionByName(part)
+    index.drop()
+    recurring = written(found.groupBy("h").agg(F.max("n").alias("n")), "recurring")
     # equal texts: the first in order of doc_id stands for them
     ids = rows.select(*key, F.md5(F.col("text").cast("binary")).alias("digest"))
-    heads = ids.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "head")
-    copies = written(ids.join(heads, "digest").where(F.col("doc_id") != F.col("head")).select(*key).distinct().withColumn("is_copy", F.lit(True)), "copies")
+    heads = ids.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heads = written(heads, "heads")
+    copies = written(spread_join(ids, heads, "digest", "n", key).where(F.col("doc_id") != F.col("head")).select(*key).distinct().withColumn("is_copy", F.lit(True)), "copies")
     # a place listed once for each document, and only of documents that stand for themselves
-    places = index.recurring().groupBy(*key).agg(F.collect_set("at").alias("places")).join(copies, key, "left_anti")
+    places = spread_join(anchors.select("h", "at", *key), recurring, "h", "n", [*key, "at"]).groupBy(*key).agg(F.collect_set("at").alias("places")).join(copies, key, "left_anti")
     places = written(places, "places")
-    index.drop()
-    windows = rows.join(places, key).mapInArrow(_window_rows, "h long, h2 int, doc_id long, text_key int, start int")
-    firsts = windows.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("head")).select("head.*").groupBy(*key).agg(F.collect_list("start").alias("firsts"))
+    windows = rows.join(places, key).mapInArrow(_window_rows, "d1 long, d2 long, doc_id long, text_key int, start int")
+    firsts = windows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("head")).select("head.*").groupBy(*key).agg(F.collect_list("start").alias("firsts"))
     small = written(places.join(firsts, key, "left").unionByName(copies.select(*key), allowMissingColumns=True).join(copies, key, "left"), "marks")
     every = rows.join(small, key, "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "places", "firsts")
     return every.mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -315,6 +315,24 @@ def test_substrings_awkward_tables(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_window_index_batch_by_batch(spark):
+    r = random.Random(6)
+    index = substrings.WindowIndex(spark)
+    seen, known = {}, set()
+    for batch in range(6):
+        part = [(r.randint(0, 60), r.randint(0, 12), r.randint(0, 2)) for _ in range(40)] + [(99, 1, 1)] * 50 + [(100, batch % 2, 5)] * 30
+        found = {x["h"]: x["n"] for x in index.add(spark.createDataFrame(part, "h long, text_hash long, at int")).collect()}
+        for h, t, at in part:
+            seen.setdefault(h, []).append((t, at))
+        want = {h for h, *_ in part if len(set(seen[h])) > 1}
+        known |= want
+        assert set(found) == want and all(found[h] == len(seen[h]) for h in want)
+        assert len(index.runs) < substrings.MERGE_RUNS
+    assert index.made > 6 and 99 not in known and 100 in known
+    index.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(index.name)]
+
+
 # 5 --------------------------------------------------------------------------
 
 
