@@ -93,9 +93,9 @@ with cut as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as
 windows as (
   select doc_id, s, array_to_string(ws[s:s + {substrings.WINDOW - 1}], ' ') as t from (select doc_id, ws, unnest(range(1, len(ws) - {substrings.WINDOW - 2})) as s from cut)),
 ranked as (select doc_id, s, row_number() over (partition by t order by doc_id, s) as k from windows),
-gone as (select distinct doc_id, unnest(range(s, s + {substrings.WINDOW})) as at from ranked where k > 1),
-spread as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as at from cut),
-kept as (select doc_id, string_agg(w, ' ' order by at) as t from spread anti join gone using (doc_id, at) group by doc_id),
+gone as (select distinct doc_id, unnest(range(s, s + {substrings.WINDOW})) as pos from ranked where k > 1),
+spread as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as pos from cut),
+kept as (select doc_id, string_agg(w, ' ' order by pos) as t from spread anti join gone using (doc_id, pos) group by doc_id),
 counted as (select doc_id, count(*) as n from gone group by doc_id)
 select c.doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from cut c left join kept k on k.doc_id = c.doc_id left join counted g on g.doc_id = c.doc_id"""
