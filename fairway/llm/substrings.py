@@ -211,7 +211,7 @@ class WindowIndex:
 
     def rows(self) -> DataFrame:
         """Rows of all runs, read as plain files: a union of bucketed tables would pass for grouped by anchor."""
-        return self.spark.read.parquet(*(f"{self.folder}/{run.rsplit('_', 1)[1]}" for run in self.runs))
+        return self.spark.read.schema("h long, lo long, hi long, n long").parquet(*(f"{self.folder}/{run.rsplit('_', 1)[1]}" for run in self.runs))
 
     def drop(self) -> None:
         """Forget the runs; their files go with the folder."""
