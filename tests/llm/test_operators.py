@@ -414,16 +414,57 @@ def varied():
 @pytest.mark.parametrize("shingle,small", [(4, False), (5, True)])
 def test_near_duplicates(spark, shingle, small):
     found = varied()
-    kept = forest.REGION, forest.BLOCK_ROWS, forest.CARRIED
-    if small:  # regions in parts, clusters in blocks
-        forest.REGION, forest.BLOCK_ROWS, forest.CARRIED = 40, 30, 8
+    kept = forest.REGION, forest.BLOCK_ROWS, forest.REPRESENTATIVES
+    if small:  # regions go deeper, clusters in blocks
+        forest.REGION, forest.BLOCK_ROWS, forest.REPRESENTATIVES = 40, 30, 4
     try:
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in forest.near_duplicates(spark.createDataFrame(found, "doc_id long, text string"), shingle).collect()}
     finally:
-        forest.REGION, forest.BLOCK_ROWS, forest.CARRIED = kept
+        forest.REGION, forest.BLOCK_ROWS, forest.REPRESENTATIVES = kept
     assert got == near_brute(found, shingle, 80)
 
 
+def test_pairs_hidden_in_a_large_region(spark):
+    """Texts that share half their shingles make every region large; the alike pairs among them must still be found."""
+    r = random.Random(12)
+    shared = [f"t{i}" for i in range(110)]
+    own = lambda i, n: [f"o{i}x{k}" for k in range(n)]
+    found = [(i, " ".join(shared + own(i, 55))) for i in range(900)]
+    for i in range(0, 300, 3):  # ids of two alike texts
+        w = found[i][1].split(" ")
+        for at in r.sample(range(110, 165), 4):
+            w[at] = f"changed{i}x{at}"
+        found[i + 1] = (i + 1, " ".join(w))
+    kept = forest.REGION
+    forest.REGION = 24
+    try:
+        got = {x["doc_id"]: x["component_id"] for x in forest.near_duplicates(spark.createDataFrame(found, "doc_id long, text string")).collect()}
+    finally:
+        forest.REGION = kept
+    want = {i: c for i, (_, c) in near_brute(found, 4, 80).items()}
+    linked = [i for i, c in want.items() if c != i]
+    assert len(linked) == 100 and sum(got[i] == want[i] for i in linked) >= 99
+    assert all(got[i] == i for i, c in want.items() if c == i)
+
+
+def test_a_large_family_over_blocks(spark):
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    found = []
+    for i in range(500):  # most near one text, some near a second one that is linked with none of them
+        w = list(base) if i % 10 else base[:100] + [f"v{k}" for k in range(20)]
+        for at in r.sample(range(120), r.randint(0, 3)):
+            w[at] = f"z{i}x{at}"
+        found.append((i, " ".join(w)))
+    kept = forest.REGION, forest.BLOCK_ROWS, forest.REPRESENTATIVES
+    forest.REGION, forest.BLOCK_ROWS, forest.REPRESENTATIVES = 100, 60, 3
+    try:
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in forest.near_duplicates(spark.createDataFrame(found, "doc_id long, text string")).collect()}
+    finally:
+        forest.REGION, forest.BLOCK_ROWS, forest.REPRESENTATIVES = kept
+    assert got == near_brute(found, 4, 80)
+
+
 def test_near_duplicates_awkward_tables(spark):
     assert forest.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(4, "A b c d e"), (2, "a B c d e"), (None, ""), (7, None), (9, "a b"), (8, "A B"), (8, "A B")], "doc_id long, text string")
