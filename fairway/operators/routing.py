@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from fairway.functions import geo
 from fairway.operators.router import Network, diverse
-from fairway.session import new_table, write
+from fairway.session import new_table, write, written
 
 GRAPH_LIMIT = 2_000_000
 IN_TASK = 200_000  # edges up to which a search runs in one task instead of in rounds
@@ -63,6 +63,38 @@ def simple_paths(edges: DataFrame, starts: DataFrame, cutoff: int) -> DataFrame:
     return found
 
 
+def hops_to(edges: DataFrame, goals: DataFrame, cutoff: int) -> DataFrame:
+    """(goal, node, left): fewest edges from each node to the goals, up to ``cutoff``."""
+    e = edges.select("u", "v").distinct()
+    found = goals.select("goal").distinct().select("goal", F.col("goal").alias("node"), F.lit(0).alias("left"))
+    front = found
+    for step in range(1, cutoff + 1):
+        new = front.join(e, front["node"] == e["v"]).select("goal", F.col("u").alias("node")).distinct().join(found, ["goal", "node"], "left_anti")
+        front = written(new.withColumn("left", F.lit(step)), "hops")
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found
+
+
+def request_paths(edges: DataFrame, requests: DataFrame, cutoff: int) -> DataFrame:
+    """(request_id, start, goal, path, hops): every path without repeats of up to ``cutoff`` edges from start to goal.
+
+    A path is only carried on while the goal is within the edges it has left.
+    """
+    e = edges.select(F.col("u").alias("node"), F.col("v").alias("next")).distinct()
+    left = written(hops_to(edges, requests, cutoff).select("goal", F.col("node").alias("next"), "left"), "left")
+    level = requests.where("start <> goal").select("request_id", "start", "goal", F.col("start").alias("node"), F.array("start").alias("path"))
+    found = None
+    for hops in range(1, cutoff + 1):
+        on = level.join(e, "node").where(~F.array_contains("path", F.col("next"))).join(left, ["goal", "next"]).where(F.col("left") <= cutoff - hops)
+        level = written(on.select("request_id", "start", "goal", F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path")), "paths")
+        done = level.where("node = goal").select("request_id", "start", "goal", "path", F.lit(hops).alias("hops"))
+        found = done if found is None else found.unionByName(done)
+        level = level.where("node <> goal")
+    return found
+
+
 def least_costs(edges: DataFrame, start: int, cost: str, most_rounds: int = 1000) -> DataFrame:
     """(node, cost, before): least costs from one node by relaxation rounds over the distributed edges."""
     spark = edges.sparkSession
@@ -173,8 +205,11 @@ def decisions(options: DataFrame) -> DataFrame:
     return t.join(comparison(options), "request_id").select("request_id", F.to_json(F.struct("recommended", "alternatives", F.struct("n_options", "min_distance", "max_distance", "min_time", "max_time", "min_safety", "max_safety").alias("comparison_summary"))).alias("document"))
 
 
-def network(weights: DataFrame, both_ways: DataFrame | None = None, nodes: DataFrame | None = None) -> Network:
-    """The graph in memory for batch planning. The number of edges is checked first."""
+def network(weights: DataFrame, both_ways: DataFrame | None = None, nodes: DataFrame | None = None, hourly: DataFrame | None = None) -> Network:
+    """The graph in memory for batch planning. The number of edges is checked first; ``hourly`` (u, v, hour, predicted_time) has 24 rows an edge.
+
+    Times of an undirected edge hold both ways where only one way is listed.
+    """
     n = weights.count()
     if n > GRAPH_LIMIT:
         raise ValueError(f"{n} edges are more than {GRAPH_LIMIT}; use least_costs or simple_paths")
@@ -188,6 +223,13 @@ def network(weights: DataFrame, both_ways: DataFrame | None = None, nodes: DataF
         for r in both_ways.where("is_bidirectional").select("u", "v").collect():
             if (r[0], r[1]) in edges:
                 edges.setdefault((r[1], r[0]), edges[(r[0], r[1])])
+    if hourly is not None:
+        listed = hourly.join(weights.select("u", "v"), ["u", "v"], "left_semi").groupBy("u", "v").agg(F.map_from_entries(F.collect_list(F.struct("hour", "predicted_time"))).alias("times"))
+        for u, v, times in listed.collect():  # at most one row an edge
+            edges[(u, v)]["hourly"] = times
+        for (u, v), x in edges.items():
+            if "hourly" not in x and "hourly" in edges.get((v, u), {}):
+                x["hourly"] = edges[(v, u)]["hourly"]
     places = {r[0]: (r[1], r[2]) for r in nodes.select("node_id", "lat", "lon").collect()} if nodes is not None else {}
     return Network(edges, places)
 
@@ -221,6 +263,18 @@ def plan(requests: DataFrame, net: Network, objectives: tuple[str, ...] = ("safe
     return requests.mapInPandas(run, "request_id long, option int, path_type string, cost double, path array<long>")
 
 
+def each_request(requests: DataFrame, net: Network, search: Callable[[Network, object], list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``search`` gives for each request, spread over tasks."""
+    shared = requests.sparkSession.sparkContext.broadcast(net)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([x for r in b.itertuples(index=False) for x in search(shared.value, r)], columns=names)
+
+    return requests.mapInPandas(run, schema)
+
+
 def endpoints(edges: DataFrame, nodes: DataFrame, kinds: list[str], least_m: float = 5000.0, sample: int = 600) -> DataFrame:
     """(ship_type, start, goal, dist): far pairs of the largest component, one for each type, chosen by a checksum of its name."""
     from fairway.operators.graph import components

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairway.config import Settings
-from fairway.operators import clean, cluster, graph, motion, nodes, ships, topology, weights
+from fairway.operators import clean, cluster, graph, motion, nodes, routing, ships, topology, weights
 from fairway.session import written
 from fairway.sources.ais import ais
 
 
 #: The test data are sparse; with these bounds some nodes form clusters.
 COARSE = Settings(cluster_eps=400.0, cluster_min_samples=2, refine_min_size=2, refine_distance=400.0)
+#: Requests (id, start, goal) of the path queries, and the most edges of a path.
+PATH_REQUESTS, PATH_CUTOFF = [(1, 0, 4), (2, 1, 25), (3, 2, 56), (4, 3, 14)], 12
 _bases: dict[tuple[str, str], Base] = {}
 
 
@@ -61,7 +63,7 @@ class Base:
 
     @cached_property
     def clustered(self) -> DataFrame:
-                return cluster.grid_clusters(self.nodes, COARSE)
+        return cluster.grid_clusters(self.nodes, COARSE)
 
     @cached_property
     def clusters(self) -> DataFrame:
@@ -129,6 +131,13 @@ class Base:
         """The strong edges in both directions."""
         return self.strong.select("u", "v", "weight", "avg_distance", "avg_time").unionByName(self.strong.select(F.col("v").alias("u"), F.col("u").alias("v"), "weight", "avg_distance", "avg_time"))
 
+    @cached_property
+    def paths(self) -> DataFrame:
+        """Simple paths of the requests, up to 12 edges."""
+        asked = self.spark.createDataFrame(PATH_REQUESTS, "request_id long, start long, goal long")
+        found = routing.request_paths(self.both, asked, PATH_CUTOFF)
+        return written(found.withColumn("path_id", F.concat_ws("-", F.transform("path", lambda x: x.cast("string")))), "paths")
+
     @cached_property
     def degrees(self) -> DataFrame:
         return graph.degrees(self.strong)

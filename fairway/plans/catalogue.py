@@ -11,11 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairway.config import DEFAULT
+from fairway.config import DEFAULT, DEFAULT_TYPE, PERIODS
 from fairway.functions import geo
 from fairway.operators import clean, cluster, graph, kernels, models, motion, nodes, routing, ships, topology, weights
 from fairway.plans import oracle
-from fairway.plans.base import COARSE, Base, base
+from fairway.plans.base import COARSE, PATH_CUTOFF, PATH_REQUESTS, Base, base
 from fairway.plans.oracle import angle, bearing, cell, circ, dist_line, hav
 
 Build = Callable[[Base], DataFrame]
@@ -53,24 +53,18 @@ class Query:
 
 NAMES = ["SEA CONTAINER 1", "海丰集装箱", "粤油轮88", "VLCC HOPE", "BULK STAR", "珠江客船3", "粤渔1234", "TUG BOAT 7", "拖轮", "CARGO KING", "货运99", "FISHING JOY", "UNKNOWN"]
 REQUESTS = [(1, 22.5012, 113.3004), (2, 22.53, 113.31), (3, 22.55, 113.33), (4, 22.5, 113.36)]
+ASKED_SHIPS = [(1, "S1", None, None), (2, None, "油轮", None), (3, None, None, 6.5), (4, "nobody", "渔船", 2.0)]
 ROW_KEY = "ship_name #us #row_idx"
-#: Start nodes of path queries, and their longest path.
-PATHS_FROM, CUTOFF = (0, 1), 3
-
-
-def _stat_route(b: Base) -> DataFrame:
-    return routing.simple_paths(b.both, b.spark.createDataFrame([(n,) for n in PATHS_FROM], "node long"), CUTOFF).withColumn("path_id", F.concat_ws("-", F.transform("path", lambda x: x.cast("string"))))
-
-
+ASKED = ", ".join(f"({r}::bigint, {a}::bigint, {g}::bigint)" for r, a, g in PATH_REQUESTS)
 PATH_SQL = (
-    f"""walks(start, node, path, hops) as (
-  select node, node, [node], 0 from (values {", ".join(f"({n}::bigint)" for n in PATHS_FROM)}) as t(node)
-  union all select start, e.v, list_append(path, e.v), hops + 1 from walks join (select distinct u, v from both_ways) e on e.u = node where hops < {CUTOFF} and not list_contains(path, e.v))""",
-    "paths as (select *, array_to_string(path, '-') as path_id from walks where hops > 0)",
-    "hop_edges as (select path_id, start, unnest(range(1, len(path))) as seq, path from paths)",
-    "hop_pairs as (select path_id, start, seq, path[seq] as u, path[seq + 1] as v from hop_edges)",
+    f"""walks(request_id, goal, node, path, hops) as (
+  select request_id, goal, start, [start], 0 from (values {ASKED}) as t(request_id, start, goal)
+  union all select request_id, goal, e.v, list_append(path, e.v), hops + 1 from walks join (select distinct u, v from both_ways) e on e.u = node where hops < {PATH_CUTOFF} and node <> goal and not list_contains(path, e.v))""",
+    "paths as (select *, path[1] as start, array_to_string(path, '-') as path_id from walks where node = goal and hops > 0)",
+    "hop_edges as (select path_id, request_id, start, unnest(range(1, len(path))) as seq, path from paths)",
+    "hop_pairs as (select path_id, request_id, start, seq, path[seq] as u, path[seq + 1] as v from hop_edges)",
     "both_weights as (select u, v, avg_distance as distance, avg_time as time, 30e0 + (weight % 7) as risk, weight as frequency from both_ways)",
-    """totals as (select path_id, start, count(*) as n_edges, sum(distance) as distance, sum(time) as time, avg(risk) as risk, sum(frequency) as frequency from hop_pairs join both_weights using (u, v) group by 1, 2)""",
+    """totals as (select path_id, request_id, start, count(*) as n_edges, sum(distance) as distance, sum(time) as time, avg(risk) as risk, sum(frequency) as frequency from hop_pairs join both_weights using (u, v) group by 1, 2, 3)""",
     "priced as (select *, case when time > 0 then distance / time * 1.944e0 else 0 end as avg_speed, 100 - risk as safety from totals)",
 )
 
@@ -80,17 +74,33 @@ def _weights(b: Base) -> DataFrame:
 
 
 def _totals(b: Base) -> DataFrame:
-    paths = _stat_route(b)
-    return routing.path_totals(paths, _weights(b)).join(paths.select("path_id", "start"), "path_id")
+    return routing.path_totals(b.paths, _weights(b)).join(b.paths.select("path_id", "request_id", "start"), "path_id")
 
 
 def _options(b: Base) -> DataFrame:
-    t = _totals(b).where("n_edges = 2")
     kind = F.when(F.col("frequency") % 2 == 0, "FREQUENT").otherwise("FASTEST")
-    return t.select(F.col("start").alias("request_id"), F.col("path_id").alias("option"), kind.alias("path_type"), F.round("distance", 6).alias("distance"), F.round("time", 6).alias("time"), F.round("safety", 6).alias("safety"))
+    return _totals(b).select("request_id", F.col("path_id").alias("option"), kind.alias("path_type"), F.round("distance", 6).alias("distance"), F.round("time", 6).alias("time"), F.round("safety", 6).alias("safety"))
+
+
+OPTIONS_SQL = "options as (select request_id, path_id as option, case when frequency % 2 = 0 then 'FREQUENT' else 'FASTEST' end as path_type, round(distance, 6) as distance, round(time, 6) as time, round(safety, 6) as safety from priced)"
+
 
+def _least(b: Base, starts: list[int], cost: str) -> DataFrame:
+    """Least costs from each start to every node, whatever the number of edges."""
+    out = None
+    for start in starts:
+        found = routing.least_costs(_weights(b), start, cost).select(F.lit(start).cast("long").alias("start"), "node", "cost")
+        out = found if out is None else out.unionByName(found)
+    return out
 
-OPTIONS_SQL = "options as (select start as request_id, path_id as option, case when frequency % 2 = 0 then 'FREQUENT' else 'FASTEST' end as path_type, round(distance, 6) as distance, round(time, 6) as time, round(safety, 6) as safety from priced where n_edges = 2)"
+
+def _least_sql(starts: list[int], cost: str) -> tuple[str, ...]:
+    return (
+        "both_weights as (select u, v, avg_distance as distance, avg_time as time from both_ways)",
+        f"""cheapest(start, node, cost) using key (start, node) as (
+  select s, s, 0e0 from (values {", ".join(f"({s}::bigint)" for s in starts)}) as t(s)
+  union select b.start, e.v, min(b.cost + e.{cost}) from cheapest b join both_weights e on e.u = b.node left join recurring.cheapest r on r.start = b.start and r.node = e.v where r.cost is null or b.cost + e.{cost} < r.cost group by 1, 2)""",
+    )
 
 
 def _named(b: Base) -> DataFrame:
@@ -99,7 +109,7 @@ def _named(b: Base) -> DataFrame:
 
 
 def _network(b: Base):
-    return routing.network(_weights(b), None, b.nodes)
+    return routing.network(_weights(b), None, b.nodes, topology.hourly_times(b.steps, b.strong))
 
 
 def _requests(b: Base) -> DataFrame:
@@ -107,25 +117,19 @@ def _requests(b: Base) -> DataFrame:
 
 
 def _ranked(b: Base) -> DataFrame:
-    net = _network(b)
-    rows = []
-    for r in _requests(b).collect():
-        for i, (c, p) in enumerate(net.ranked(r["start"], r["goal"], 3, net.cost("fastest"))):
-            rows.append((r["request_id"], i, float(c), p))
-    return b.spark.createDataFrame(rows, "request_id long, rank int, cost double, path array<long>")
+    def search(net, r):
+        return [(r.request_id, i, float(c)) for i, (c, _) in enumerate(net.ranked(int(r.start), int(r.goal), 3, net.cost("fastest")))]
+
+    return routing.each_request(_requests(b), _network(b), search, "request_id long, rank int, cost double")
 
 
 def _evolved(b: Base) -> DataFrame:
-    net = _network(b)
-    rows = []
-    for r in _requests(b).collect():
-        for how in ("wolves", "swarm", "genes"):
-            got = net.evolved(r["start"], r["goal"], net.cost("balanced"), how)
-            if got:
-                rows.append((r["request_id"], how, float(got[0]), got[1]))
-        for p in net.front(r["start"], r["goal"], [net.cost("fastest"), net.cost("shortest"), net.cost("safest")]):
-            rows.append((r["request_id"], "front", net.total(p, net.cost("balanced")), p))
-    return b.spark.createDataFrame(rows, "request_id long, method string, cost double, path array<long>")
+    def search(net, r):
+        start, goal, cost = int(r.start), int(r.goal), net.cost("balanced")
+        rows = [(r.request_id, how, float(got[0])) for how in ("wolves", "swarm", "genes") if (got := net.evolved(start, goal, cost, how))]
+        return rows + [(r.request_id, "front", float(net.total(p, cost))) for p in net.front(start, goal, [net.cost("fastest"), net.cost("shortest"), net.cost("safest")])]
+
+    return routing.each_request(_requests(b), _network(b), search, "request_id long, method string, cost double")
 
 
 def _period_features(b: Base) -> DataFrame:
@@ -159,6 +163,27 @@ DIRECTIONS_SQL = (
   from whole left join far using (node_id) where n >= 3)""",
 )
 
+#: All columns of the wide table of edges.
+FLAT = (
+    "#from_node #to_node model_used #segment_count ~avg_distance ~avg_travel_time ~std_travel_time ~min_travel_time ~max_travel_time ~median_travel_time ~avg_actual_speed ~std_actual_speed ~avg_reported_speed ~speed_reliability "
+    + "~avg_bearing ~std_bearing ~avg_course_change ~circular_bearing waterway_type #waterway_type_code is_bidirectional #node_degree_from #node_degree_to ~edge_betweenness "
+    + " ".join(f"~predicted_time_h{h:02d}" for h in range(24)) + " " + " ".join(f"~predicted_time_{k}" for k in weights.KEY_HOURS)
+    + " " + " ".join(f"~{n}_avg_time ~{n}_weight_ratio #{n}_sample_count" for n, *_ in PERIODS)
+)
+FLAT_SQL = (
+    "select s.*, s.u as from_node, s.v as to_node, 'empirical' as model_used, avg_bearing, std_bearing, avg_course_change, circular_bearing, waterway_type, (waterway_type = 'narrow')::int as waterway_type_code, is_bidirectional, f.degree as node_degree_from, t.degree as node_degree_to, 0e0 as edge_betweenness, "
+    + ", ".join(f"h{h:02d} as predicted_time_h{h:02d}" for h in range(24)) + ", " + ", ".join(f"h{h:02d} as predicted_time_{k}" for k, h in weights.KEY_HOURS.items())
+    + ", " + ", ".join(f"{n}_avg_time, {n}_weight_ratio, coalesce({n}_sample_count, 0) as {n}_sample_count" for n, *_ in PERIODS)
+    + " from stats s join hourly_of using (u, v) left join periods_of using (u, v) left join turns_of using (u, v) left join waterway using (u, v) left join both_of using (u, v) left join dd f on f.node = s.u left join dd t on t.node = s.v"
+)
+FLAT_EXTRA = (
+    "dd as (select node, count(distinct other) as degree from (select u as node, v as other from directed union all select v, u from directed) group by 1)",
+    "hourly_of as (select u, v, " + ", ".join(f"max(predicted_time) filter (hour = {h}) as h{h:02d}" for h in range(24)) + " from filled group by u, v)",
+    "periods_of as (select u, v, " + ", ".join(f"max(avg_time) filter (time_period = '{n}') as {n}_avg_time, max(weight_ratio) filter (time_period = '{n}') as {n}_weight_ratio, max(sample_count) filter (time_period = '{n}') as {n}_sample_count" for n, *_ in PERIODS) + " from periods group by u, v)",
+    f"turns_of as (select u, v, avg(bearing) as avg_bearing, stddev_pop(bearing) as std_bearing, avg(course_change) as avg_course_change, {circ('avg(sin(radians(bearing)))', 'avg(cos(radians(bearing)))')} as circular_bearing from mapped group by 1, 2)",
+    "both_of as (select a.u, a.v, max(coalesce(least(a.n, b.n) / greatest(a.n, b.n)::double, 0)) > 0.3 as is_bidirectional from octs a left join octs b on a.u = b.u and a.v = b.v and b.octant = (a.octant + 4) % 8 group by 1, 2)",
+)
+
 CATALOGUE: dict[str, Query] = {
     # cleaning
     "ais_view": Query(lambda b: b.raw, f"{ROW_KEY} @lat @lon ~speed ~course", "select * from ais"),
@@ -217,8 +242,20 @@ CATALOGUE: dict[str, Query] = {
   select l.node_id as old_id, l.frequency + coalesce(sum(s.frequency), 0) as frequency, l.ship_count + coalesce(sum(s.ship_count), 0) as ship_count, l.type from clusters l left join targets t on t.large = l.node_id left join clusters s on s.node_id = t.small
   where l.node_count >= 2 group by l.node_id, l.frequency, l.ship_count, l.type
   union all select node_id, frequency, ship_count, type from clusters where node_count < 2 and node_id not in (select small from targets) and type in ('bifurcation_point', 'merge_point', 'turn_point', 'port_area') and frequency >= 3)"""),
-    "dbscan": Query(lambda b: cluster.density_clusters(b.nodes, COARSE), "#node_id #cluster is_noise"),
-    "kde_center": Query(lambda b: cluster.aggregate(b.clustered, ["cl", "cn", "co"], centre="kde"), "#node_id @lat @lon #node_count"),
+    "dbscan": Query(lambda b: cluster.density_clusters(b.nodes, COARSE), "#node_id #cluster is_noise", "select node_id, coalesce(k, -1) as cluster, k is null as is_noise from nodes left join labelled using (node_id)", (
+        "flat as (select node_id, (lon - ml) * 111000 * cos(radians(ma)) as x, (lat - ma) * 111000 as y, 30e0 * sin(radians(heading)) * heading_concentration as hx, 30e0 * cos(radians(heading)) * heading_concentration as hy from nodes, (select avg(lat) as ma, avg(lon) as ml from nodes))",
+        f"close_to as (select a.node_id, b.node_id as other from flat a, flat b where pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.hx - b.hx, 2) + pow(a.hy - b.hy, 2) <= {COARSE.cluster_eps ** 2!r}::double)",
+        f"cores as (select node_id from close_to group by 1 having count(*) >= {COARSE.cluster_min_samples})",
+        "reach(node, goal) as (select node_id, node_id from cores union select r.node, c.other from reach r join close_to c on c.node_id = r.goal where c.other in (select node_id from cores))",
+        "core_of as (select node as node_id, min(goal) as k from reach group by 1)",
+        "labelled as (select * from core_of union all select c.node_id, min(k) from close_to c join core_of o on o.node_id = c.other where c.node_id not in (select node_id from cores) group by 1)"), True),
+    "kde_center": Query(lambda b: cluster.aggregate(b.clustered, ["cl", "cn", "co"], centre="kde"), "#node_id @lat @lon #node_count", "select * from centres union all select node_id, lat, lon, 1 from hcl where is_noise", (
+        "m as (select cl, cn, co, node_id, lat, lon, frequency / sum(frequency) over (partition by cl, cn, co) as w, count(*) over (partition by cl, cn, co) as n from hcl where not is_noise)",
+        "means as (select cl, cn, co, min(node_id) as node_id, any_value(n) as n, sum(w * lat) as ma, sum(w * lon) as mo, sum(w * w) as ww from m group by 1, 2, 3)",
+        "cov as (select cl, cn, co, sum(w * (lat - ma) * (lat - ma)) / (1 - any_value(ww)) * pow(1 / any_value(ww), -1e0 / 3) as xx, sum(w * (lat - ma) * (lon - mo)) / (1 - any_value(ww)) * pow(1 / any_value(ww), -1e0 / 3) as xy, sum(w * (lon - mo) * (lon - mo)) / (1 - any_value(ww)) * pow(1 / any_value(ww), -1e0 / 3) as yy from m join means using (cl, cn, co) where means.n >= 5 group by 1, 2, 3)",
+        "dense as (select a.cl, a.cn, a.co, a.node_id, a.lat, a.lon, sum(b.w * exp(-5e-1 * (pow(a.lat - b.lat, 2) * yy - 2 * (a.lat - b.lat) * (a.lon - b.lon) * xy + pow(a.lon - b.lon, 2) * xx) / (xx * yy - xy * xy))) as f from m a join m b using (cl, cn, co) join cov using (cl, cn, co) where abs(xx * yy - xy * xy) >= 1e-24 group by 1, 2, 3, 4, 5, 6)",
+        "best as (select cl, cn, co, arg_max(lat, row(f, -node_id)) as lat, arg_max(lon, row(f, -node_id)) as lon from dense group by 1, 2, 3)",
+        "centres as (select means.node_id, coalesce(best.lat, ma) as lat, coalesce(best.lon, mo) as lon, means.n as node_count from means left join best using (cl, cn, co))")),
     # topology
     "candidate_join": Query(lambda b: topology.candidates(b.points, b.nodes).select("ship_name", "row_idx", F.explode("candidates").alias("c")).select("ship_name", "row_idx", "c.*"), "ship_name #row_idx #node_id ~d ~emission", f"""select ship_name, row_idx, node_id, d, case when best < 200 then exp(-d * d / 20000e0) else 1e-1 end as emission from (
   select p.ship_name, p.row_idx, q.node_id, {hav('p.lat', 'p.lon', 'q.lat', 'q.lon')} as d, min({hav('p.lat', 'p.lon', 'q.lat', 'q.lon')}) over (partition by p.ship_name, p.row_idx) as best, row_number() over (partition by p.ship_name, p.row_idx order by {hav('p.lat', 'p.lon', 'q.lat', 'q.lon')}, q.node_id) as k
@@ -238,8 +275,18 @@ CATALOGUE: dict[str, Query] = {
     "reachable": Query(lambda b: graph.reachable(b.strong, 0).select("node"), "#node", "select distinct node from hop", ("hop(node) as (select 0::bigint union select e.v from hop join strong e on e.u = node)",), True),
     "viterbi_edges": Query(lambda b: topology.edges(topology.passages(topology.match(b.points, b.nodes), ["seq"])), "#u #v #weight #ship_count ~avg_distance ~avg_time"),
     "merge_nodes": Query(_merged_edges, "#u #v #weight ~avg_distance"),
-    "betweenness": Query(lambda b: graph.edge_betweenness(b.strong), "#u #v ~betweenness"),
-    "network_statistics": Query(lambda b: topology.statistics(b.strong), "#n_nodes ~mean_degree ~mean_clustering #n_edges #n_components #largest_component"),
+    "betweenness": Query(lambda b: graph.edge_betweenness(b.strong), "#u #v @betweenness", """select least(a.node, w.node) as u, greatest(a.node, w.node) as v, sum(a.ways / w.ways * (1 + w.flow)) / (select greatest(1, count(*) * (count(*) - 1)) from degs) as betweenness
+  from back a join ends e on e.node = a.node join back w on w.start = a.start and w.node = e.other and w.d = a.d + 1 group by 1, 2""", (
+        """spread(start, node, d, ways) using key (start, node) as (select distinct node, node, 0, 1e0 from degs
+  union select s.start, e.other, s.d + 1, sum(s.ways) from spread s join ends e on e.node = s.node left join recurring.spread r on r.start = s.start and r.node = e.other where r.node is null group by 1, 2, 3)""",
+        """back(start, node, d, ways, flow) as (select start, node, d, ways, 0e0 from spread where d = (select max(d) from spread)
+  union all select s.start, s.node, s.d, s.ways, coalesce(sum(s.ways / w.ways * (1 + w.flow)), 0) from (select distinct d from back) k join spread s on s.d = k.d - 1
+  left join (select e.node as before, b.* from ends e join back b on b.node = e.other) w on w.before = s.node and w.start = s.start group by 1, 2, 3, 4)""",), True),
+    "network_statistics": Query(lambda b: topology.statistics(b.strong), "#n_nodes ~mean_degree ~mean_clustering #n_edges #n_components #largest_component", """select count(*) as n_nodes, avg(degree) as mean_degree, avg(case when degree > 1 then 2e0 * coalesce(t, 0) / (degree * (degree - 1)) else 0 end) as mean_clustering,
+  (select count(*) from strong) as n_edges, (select count(*) from parts) as n_components, (select max(n) from parts) as largest_component from degs left join corners using (node)""", (
+        "reach(node, goal) as (select node, node from (select distinct node from ends) union select r.node, e.other from reach r join ends e on e.node = r.goal)",
+        "parts as (select c, count(*) as n from (select node, min(goal) as c from reach group by node) group by c)",
+        "corners as (select node, count(*) as t from (select unnest([a.u, a.v, b.v]) as node from strong a join strong b on b.u = a.v join strong c on c.u = a.u and c.v = b.v) group by 1)"), True),
     # weights
     "movement_segments": Query(lambda b: b.segments, f"{ROW_KEY} ~time_diff ~distance ~actual_speed ~reported_speed ~speed_diff ~bearing ~course_change #hour #is_peak_hour #is_weekend time_period", "select * from segments"),
     "density_grid": Query(lambda b: b.density, "#gl #gn #n", "select * from dens"),
@@ -258,11 +305,8 @@ CATALOGUE: dict[str, Query] = {
         ("dd as (select node, count(distinct other) as degree from (select u as node, v as other from directed union all select v, u from directed) group by 1)",)),
     "time_fill_24h": Query(lambda b: b.filled, "#u #v #hour #n ~predicted_time source", "select * from filled"),
     "time_matrix": Query(lambda b: weights.time_matrix(b.filled), "edge_id #u #v " + " ".join(f"~h{h:02d}" for h in range(24)), "select u || '_' || v as edge_id, u, v, " + ", ".join(f"max(predicted_time) filter (hour = {h}) as h{h:02d}" for h in range(24)) + " from filled group by u, v"),
-    "flat_features": Query(lambda b: weights.flat_features(b.stats, weights.direction_stats(b.mapped), weights.period_weights(b.mapped), b.filled, b.waterway, weights.bidirectional(weights.octants(b.mapped)), graph.degrees(b.directed)), "#from_node #to_node model_used #segment_count waterway_type #waterway_type_code #node_degree_from #night_sample_count ~morning_avg_time ~predicted_time_h08 ~predicted_time_evening is_bidirectional"),
-    "dynamic_weight_lookup": Query(lambda b: weights.dynamic_weight(b.filled.where("hour % 2 = 0"), weights.period_weights(b.mapped), b.stats, b.directed.crossJoin(b.spark.range(6, 12).select(F.col("id").cast("int").alias("hour")))), "#u #v #hour ~weight", f"""select u, v, hour, coalesce(f.predicted_time, p.avg_time, s.avg_travel_time) as weight from (select *, {oracle.PERIOD} as time_period from (select u, v, unnest(range(6, 12))::int as hour from directed))
-  left join (select u, v, hour, predicted_time from filled where hour % 2 = 0) f using (u, v, hour) left join periods p using (u, v, time_period) left join stats s using (u, v)"""),
-    # every hour of every directed edge over the whole filled table
-    "dynamic_weight_24h": Query(lambda b: weights.dynamic_weight(b.filled, weights.period_weights(b.mapped), b.stats, b.directed.crossJoin(b.spark.range(24).select(F.col("id").cast("int").alias("hour")))), "#u #v #hour ~weight", f"""select u, v, hour, coalesce(f.predicted_time, p.avg_time, s.avg_travel_time) as weight from (select *, {oracle.PERIOD} as time_period from (select u, v, unnest(range(24))::int as hour from directed))
+    "flat_features": Query(lambda b: weights.flat_features(b.stats, weights.direction_stats(b.mapped), weights.period_weights(b.mapped), b.filled, b.waterway, weights.bidirectional(weights.octants(b.mapped)), graph.degrees(b.directed)), FLAT, FLAT_SQL, FLAT_EXTRA),
+    "dynamic_weight_lookup": Query(lambda b: weights.dynamic_weight(b.filled, weights.period_weights(b.mapped), b.stats, b.directed.crossJoin(b.spark.range(24).select(F.col("id").cast("int").alias("hour")))), "#u #v #hour ~weight", f"""select u, v, hour, coalesce(f.predicted_time, p.avg_time, s.avg_travel_time) as weight from (select *, {oracle.PERIOD} as time_period from (select u, v, unnest(range(24))::int as hour from directed))
   left join (select u, v, hour, predicted_time from filled) f using (u, v, hour) left join periods p using (u, v, time_period) left join stats s using (u, v)"""),
     "peak_offpeak_ratio": Query(lambda b: weights.peak_ratio(b.filled), "#u #v ~ratio", "select u, v, avg(predicted_time) filter (hour between 7 and 9) / avg(predicted_time) filter (hour between 0 and 4) as ratio from filled group by 1, 2"),
     "hourly_volume": Query(lambda b: weights.hourly_volume(b.mapped), "#u #v #hour #flow congestion", "select u, v, hour, flow, case when s < 0.25 then 'free' when s < 0.5 then 'light' when s < 0.7 then 'moderate' when s < 0.85 then 'heavy' else 'severe' end as congestion from (select *, flow / (max(flow) over (partition by u, v))::double as s from (select u, v, hour, count(*) as flow from mapped group by 1, 2, 3))"),
@@ -270,7 +314,11 @@ CATALOGUE: dict[str, Query] = {
     # ships
     "ship_type_inference": Query(_named, "name #speed by_name by_speed", f"select name, speed, coalesce({oracle.BY_NAME}, 'none') as by_name, {oracle.by_speed('speed')} as by_speed from (select unnest([{', '.join(repr(n) for n in NAMES)}]) as name), (select unnest(range(0, 28, 2)) as speed)"),
     "ship_profile": Query(lambda b: ships.profiles(b.points), "ship_name ship_type ~top_speed ~avg_speed #record_count ~length ~draft risk_level ~maneuverability", f"select * from (select ship_name, max(speed) as top_speed, avg(speed) as avg_speed, count(*) as record_count, coalesce({oracle.BY_NAME.replace('upper(name)', 'upper(ship_name)')}, {oracle.by_speed('max(speed)')}) as ship_type from points group by ship_name) join templates using (ship_type)"),
-    "ship_resolve": Query(lambda b: ships.resolve(b.spark.createDataFrame([(1, "S1", None, None), (2, None, "油轮", None), (3, None, None, 6.5), (4, "nobody", "渔船", 2.0)], "request_id long, ship_name string, ship_type string, draft double"), ships.profiles(b.points)), "#request_id ship_type ~length ~draft risk_level"),
+    "ship_resolve": Query(lambda b: ships.resolve(b.spark.createDataFrame(ASKED_SHIPS, "request_id long, ship_name string, ship_type string, draft double"), ships.profiles(b.points)), "#request_id ship_type ~length ~draft risk_level ~maneuverability", f"""select *, case when draft > 10 or tonnage > 50000 then 'high' when draft > 5 or tonnage > 10000 then 'medium' else 'low' end as risk_level, least(greatest(1 - length / 400e0, 0.1e0), 1e0) as maneuverability from (
+  select request_id, coalesce(k.ship_type, r.ship_type, '{DEFAULT_TYPE}') as ship_type, coalesce(k.length, t.length, d.length) as length, coalesce(r.draft, k.draft, t.draft, d.draft) as draft, coalesce(k.tonnage, t.tonnage, d.tonnage) as tonnage
+  from (values {", ".join("(" + ", ".join("null" if x is None else repr(x) for x in r) + ")" for r in ASKED_SHIPS)}) as r(request_id, ship_name, ship_type, draft)
+  left join (select * from (select ship_name, coalesce({oracle.BY_NAME.replace("upper(name)", "upper(ship_name)")}, {oracle.by_speed("max(speed)")}) as ship_type from points group by ship_name) join templates using (ship_type)) k on k.ship_name = r.ship_name
+  left join templates t on t.ship_type = r.ship_type cross join (select * from templates where ship_type = '{DEFAULT_TYPE}') d)"""),
     "edge_constraints": Query(lambda b: b.limits, "#u #v ~depth ~channel_width ~clearance", "select * from limits"),
     "constraint_inheritance": Query(lambda b: ships.inherited(b.strong, b.limits), "#u #v ~depth ~channel_width ~clearance", """select m.u, m.v, coalesce(greatest(median(depth), 8e0), 15e0) as depth, coalesce(greatest(median(channel_width), 60e0), 120e0) as channel_width, coalesce(greatest(median(clearance), 30e0), 60e0) as clearance
   from (select u, v from strong where (u, v) not in (select (u, v) from limits)) m left join limits l on l.u in (m.u, m.v) or l.v in (m.u, m.v) group by 1, 2"""),
@@ -283,15 +331,18 @@ CATALOGUE: dict[str, Query] = {
     "turn_penalty": Query(lambda b: routing.turn_angles(b.strong, b.nodes).withColumn("penalty", routing.turn_penalty(F.col("angle"), F.lit(150.0), F.lit(22.0))), "#a #b #c ~angle ~penalty", f"""select *, case when angle < 10 then 1e0 when angle > 9e1 / (236e0 / 1e2) then least(2e0 + (angle - 9e1 / (236e0 / 1e2)) / 3e1, 5e0) else 1e0 + angle / (9e1 / (236e0 / 1e2)) * 5e-1 end as penalty from (
   select x.u as a, x.v as b, y.v as c, {angle('x.t', 'y.t')} as angle from bb x join bb y on x.v = y.u where x.u <> y.v)""", (f"bb as (select u, v, {bearing('a.lat', 'a.lon', 'b.lat', 'b.lon')} as t from strong join nodes a on a.node_id = u join nodes b on b.node_id = v)",)),
     "nearest_node": Query(lambda b: routing.nearest_nodes(b.spark.createDataFrame(REQUESTS, "request_id long, lat double, lon double"), b.nodes), "#request_id #node_id ~dist", f"select request_id, arg_min(node_id, row(round({hav('r.lat', 'r.lon', 'n.lat', 'n.lon')}, 6), node_id)) as node_id, min({hav('r.lat', 'r.lon', 'n.lat', 'n.lon')}) as dist from nodes n, (values {', '.join(f'({i}, {a}::double, {o}::double)' for i, a, o in REQUESTS)}) as r(request_id, lat, lon) group by 1"),
-    "simple_paths": Query(_stat_route, "#start #node path_id #hops", "select * from paths", PATH_SQL, True),
-    "path_totals": Query(_totals, "path_id #start #n_edges ~distance ~time ~risk #frequency ~avg_speed ~safety", "select * from priced", PATH_SQL, True),
-    "shortest_path": Query(lambda b: routing.least_costs(_weights(b), 0, "distance").select("node", "cost"), "#node ~cost"),
-    "fastest_path": Query(lambda b: _totals(b).withColumn("goal", F.element_at(F.split("path_id", "-"), -1).cast("long")).groupBy("start", "goal").agg(F.min("time").alias("time")), "#start #goal ~time", "select start, string_split(path_id, '-')[-1]::bigint as goal, min(time) as time from priced group by 1, 2", PATH_SQL, True),
+    "simple_paths": Query(lambda b: b.paths, "#request_id #start #goal path_id #hops", "select * from paths", PATH_SQL, True),
+    "path_totals": Query(_totals, "path_id #request_id #start #n_edges ~distance ~time ~risk #frequency ~avg_speed ~safety", "select * from priced", PATH_SQL, True),
+    "shortest_path": Query(lambda b: _least(b, [0], "distance"), "#start #node ~cost", "select * from cheapest", _least_sql([0], "distance"), True),
+    "fastest_path": Query(lambda b: _least(b, [a for _, a, _ in PATH_REQUESTS], "time"), "#start #node ~cost", "select * from cheapest", _least_sql([a for _, a, _ in PATH_REQUESTS], "time"), True),
     "pareto_paths": Query(lambda b: routing.pareto(_options(b), "option", ["distance", "time"], "request_id"), "#request_id option ~distance ~time", "select * from options a where not exists (select 1 from options b where a.request_id = b.request_id and a.option <> b.option and b.distance <= a.distance and b.time <= a.time and (b.distance < a.distance or b.time < a.time))", (*PATH_SQL, OPTIONS_SQL), True),
     "recommend_path": Query(lambda b: routing.recommend(_options(b)), "#request_id option ~score is_recommended", "select *, row_number() over (partition by request_id order by round(score, 9) desc, option) = 1 as is_recommended from (select *, 35e-2 * safety / 100 + 25e-2 * (1 - time / max(time) over (partition by request_id)) + 2e-1 * (1 - distance / max(distance) over (partition by request_id)) + case when path_type = 'FREQUENT' then 1e-1 else 0 end as score from options)", (*PATH_SQL, OPTIONS_SQL), True),
     "comparison_summary": Query(lambda b: routing.comparison(_options(b)), "#request_id #n_options ~min_distance ~max_distance ~min_time ~max_time ~min_safety ~max_safety", "select request_id, count(*) as n_options, min(distance) as min_distance, max(distance) as max_distance, min(time) as min_time, max(time) as max_time, min(safety) as min_safety, max(safety) as max_safety from options group by 1", (*PATH_SQL, OPTIONS_SQL), True),
-    "web_path_stats": Query(lambda b: routing.web_stats(_stat_route(b), b.edge_features), "path_id ~total_distance_km ~total_time_min ~risk_score ~safety_score #waypoint_count"),
-    "route_lines": Query(lambda b: routing.route_lines(_stat_route(b), b.nodes).select("path_id", F.size("coordinates").alias("n"), F.get(F.get("coordinates", 0), 0).alias("first_lon"), F.get(F.get("coordinates", 0), 1).alias("first_lat")), "path_id #n @first_lon @first_lat", "select path_id, len(path) as n, lon as first_lon, lat as first_lat from paths join nodes on node_id = path[1]", PATH_SQL, True),
+    "web_path_stats": Query(lambda b: routing.web_stats(b.paths, b.edge_features), "path_id ~total_distance_km ~total_time_min ~avg_speed_knots ~risk_score ~safety_score #waypoint_count", """select path_id, round_even(km, 2) as total_distance_km, round_even(minutes, 2) as total_time_min, round_even(case when minutes > 0 then km / (minutes / 60) / 1.852e0 else 8e0 end, 2) as avg_speed_knots,
+  round_even(risk, 1) as risk_score, round_even(greatest(100 - risk, 0e0), 1) as safety_score, waypoint_count from (
+  select path_id, sum(coalesce(avg_distance / 1000, 5e-1)) as km, sum(coalesce(avg_travel_time / 60, 5e-1)) as minutes, avg(30 + case when waterway_type = 'narrow' then 15 else 0 end + case when coalesce(segment_count, 0) < 3 then 10 else 0 end) as risk, count(*) as waypoint_count
+  from hop_pairs left join efeats using (u, v) group by 1)""", PATH_SQL, True),
+    "route_lines": Query(lambda b: routing.route_lines(b.paths, b.nodes).select("path_id", F.posexplode("coordinates").alias("seq", "c")).select("path_id", "seq", F.get("c", 0).alias("lon"), F.get("c", 1).alias("lat")), "path_id #seq @lon @lat", "select path_id, seq - 1 as seq, lon, lat from (select path_id, path, unnest(range(1, len(path) + 1)) as seq from paths) p join nodes n on n.node_id = p.path[p.seq]", PATH_SQL, True),
     "decision_documents": Query(lambda b: routing.decisions(_options(b)).select("request_id", F.get_json_object("document", "$.recommended.option").alias("recommended"), F.get_json_object("document", "$.comparison_summary.n_options").alias("n_options")), "#request_id recommended #n_options", "select request_id, arg_max(option, row(round(score, 9), -rank)) as recommended, count(*) as n_options from (select *, row_number() over (partition by request_id order by option) as rank, 35e-2 * safety / 100 + 25e-2 * (1 - time / max(time) over (partition by request_id)) + 2e-1 * (1 - distance / max(distance) over (partition by request_id)) + case when path_type = 'FREQUENT' then 1e-1 else 0 end as score from options) group by 1", (*PATH_SQL, OPTIONS_SQL), True),
     "planned_routes": Query(lambda b: routing.plan(_requests(b), _network(b)), "#request_id #option path_type ~cost"),
     "yen_k_paths": Query(_ranked, "#request_id #rank ~cost"),

@@ -192,6 +192,36 @@ def test_router():
         assert [x for x, _ in got] == [x for x, _ in every[:4]]
 
 
+def test_simple_paths_are_all_or_an_error(spark):
+    r = random.Random(4)
+    for _ in range(30):
+        e = {(a, b) for a in range(8) for b in range(8) if a != b and r.random() < 0.35}
+        net = Network({k: {"distance": 1.0} for k in e})
+        for cutoff in (1, 3, 7):
+            want = [list(p) for n in range(1, cutoff + 1) for p in itertools.permutations(range(8), n + 1) if p[0] == 0 and p[-1] == 7 and all(x in e for x in itertools.pairwise(p))] if cutoff < 7 else None
+            got = net.simple(0, 7, cutoff)
+            assert len({tuple(p) for p in got}) == len(got) and all(len(p) <= cutoff + 1 for p in got)
+            assert want is None or sorted(got) == sorted(want)
+            if got:
+                with pytest.raises(ValueError, match="more than"):
+                    net.simple(0, 7, cutoff, len(got) - 1)
+    edges = spark.createDataFrame(sorted(e), "u long, v long")
+    asked = spark.createDataFrame([(1, 0, 7), (2, 7, 0), (3, 2, 2)], "request_id long, start long, goal long")
+    got = sorted((x["request_id"], x["path"]) for x in routing.request_paths(edges, asked, 4).collect())
+    assert got == sorted([(1, p) for p in net.simple(0, 7, 4)] + [(2, p) for p in net.simple(7, 0, 4)])
+
+
+def test_hours_change_the_plan(spark):
+    w = spark.createDataFrame([(1, 2, 100.0, 50.0), (2, 3, 100.0, 50.0), (1, 3, 100.0, 120.0), (3, 1, 100.0, 120.0)], "u long, v long, distance double, time double")
+    hourly = spark.createDataFrame([(1, 2, 8, 300.0), (1, 2, 9, 40.0), (1, 3, 8, 90.0)], "u long, v long, hour int, predicted_time double")
+    net = routing.network(w, hourly=hourly)
+    assert net.best(1, 3, net.cost("fastest", 8))[1] == [1, 3] and net.best(1, 3, net.cost("fastest", 9))[1] == [1, 2, 3]
+    assert net.time((3, 1), 8) == 90.0  # the other way's hours
+    asked = spark.createDataFrame([(1, 1, 3, 8, "x"), (2, 1, 3, 9, "x")], "request_id long, start long, goal long, hour int, ship_type string")
+    got = {(r["request_id"], r["path_type"]): r["path"] for r in routing.plan(asked, net, ("fastest",)).collect()}
+    assert got[1, "FASTEST"] == [1, 3] and got[2, "FASTEST"] == [1, 2, 3]
+
+
 def test_graph_tables_in_rounds_and_in_one_task(spark):
     r = random.Random(5)
     pairs = sorted({tuple(sorted(r.sample(range(40), 2))) for _ in range(45)})
