@@ -62,12 +62,12 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     for least, texts in reversed(LONG):
         close = F.when(size >= least, texts).otherwise(close)
     lines = docs.where("text is not null").select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    # tokens are a column while the leaf is found, so lines are split once; only the line itself moves
+    # tokens are a column while the leaf is found; lines are written with their leaf, as both the counts and the tokens need them
     lines = lines.select("*", _tokens(F.col("line")).alias("tokens")).where(size >= 1)
     bare = (size < MIN_TOKENS) & F.forall("tokens", lambda t: t.rlike("[0-9]"))
     lead = F.slice("tokens", 1, LEAD)
     leaf = F.xxhash64(size, F.when(bare, lead).otherwise(_masked(lead)))
-    lines = lines.select("doc_id", "text_key", "place", "line", leaf.alias("leaf"), F.least(wide, close).alias("need"))
+    lines = written(lines.select("doc_id", "text_key", "place", "line", leaf.alias("leaf"), F.least(wide, close).alias("need")), "split")
     by_text = lines.groupBy("leaf", "text_key").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("n"))
     shared = by_text.groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("need").alias("need"), F.sum("n").alias("n")).where(F.col("texts") >= F.col("need"))
     shared = written(shared.select("leaf", "n"), "leaves")
