@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairway.operators.skew import spread_join
-from fairway.session import bounded_batches, new_table, written
+from fairway.session import bounded_batches, new_table, scratch, write, written
 from .text import Words, buffers, grams, slices, sliding, starts_inside
 
 WINDOW, GRAM = 20, 8
@@ -220,17 +220,9 @@ class WindowIndex:
         self.runs = []
 
 
-def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (words joined by one space) of every document.
-
-    The documents enter the index in ``batches`` parts by hash of doc_id, one after the other, as they
-    would arrive; each part is joined with the runs of those before it.
-    """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    several = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-    rows = rows.withColumn("text_key", F.hash("text") if several else F.lit(0))
+def _recurring_places(rows: DataFrame, batches: int, copies_at: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, places): places of recurring anchors in documents that stand for themselves; and the copies, written to a path."""
+    spark = rows.sparkSession
     key = ["doc_id", "text_key"]
     cut = rows.withColumns({"batch": F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"), "text_hash": F.xxhash64("text")})
     anchors = written(cut.mapInArrow(_run_rows, "h long, at int, doc_id long, text_key int, batch int, text_hash long"), "anchors")
@@ -245,10 +237,30 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     ids = rows.select(*key, F.md5(F.col("text").cast("binary")).alias("digest"))
     heads = ids.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = written(heads, "heads")
-    copies = written(spread_join(ids, heads, "digest", "n", key).where(F.col("doc_id") != F.col("head")).select(*key).distinct().withColumn("is_copy", F.lit(True)), "copies")
+    write(spread_join(ids, heads, "digest", "n", key).where(F.col("doc_id") != F.col("head")).select(*key).distinct().withColumn("is_copy", F.lit(True)), copies_at)
+    copies = spark.read.parquet(copies_at)
     # a place listed once for each document, and only of documents that stand for themselves
     places = spread_join(anchors.select("h", "at", *key), recurring, "h", "n", [*key, "at"]).groupBy(*key).agg(F.collect_set("at").alias("places")).join(copies, key, "left_anti")
-    places = written(places, "places")
+    return places, copies
+
+
+def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept (words joined by one space) of every document.
+
+    The documents enter the index in ``batches`` parts by hash of doc_id, one after the other, as they
+    would arrive; each part is joined with the runs of those before it.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    several = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("text_key", F.hash("text") if several else F.lit(0))
+    key = ["doc_id", "text_key"]
+    places_at, copies_at = new_table(spark, "places"), new_table(spark, "copies")
+    with scratch(spark):  # the index and what leads to it go before texts move
+        places, copies = _recurring_places(rows, batches, copies_at)
+        write(places, places_at)
+    places, copies = spark.read.parquet(places_at), spark.read.parquet(copies_at)
     windows = rows.join(places, key).mapInArrow(_window_rows, "d1 long, d2 long, doc_id long, text_key int, start int")
     firsts = windows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("head")).select("head.*").groupBy(*key).agg(F.collect_list("start").alias("firsts"))
     small = written(places.join(firsts, key, "left").unionByName(copies.select(*key), allowMissingColumns=True).join(copies, key, "left"), "marks")
