@@ -4,7 +4,8 @@ The model is fitted on the driver from a small table of labelled URLs, and its w
 numbers) go into the plan as one constant array. Scoring is a sum over array elements in the JVM.
 The labelled table is made by a rule from two lists of common English host words, one for kinds of
 sites to block (gambling, adult, pills, fraud, malware, advertising) and one for ordinary sites, and
-from invented syllable names, which are ordinary too. It is made without the tables judged.
+from invented syllable names, which are ordinary too. No host is copied from the tables judged;
+the README says what was known of them.
 
 Host: after the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; path: from there up to
 ``? #`` or the end. Both are empty for null and for urls without ``://``. Such a url scores as the
