@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -294,6 +295,15 @@ def test_grid_joins_against_all_pairs(spark):
     assert pairs == {(i, k) for i, a, o in map(tuple, q.collect()) for k, b, p in places if float(kernels.haversine(a, o, b, p)) < 150.0}
 
 
+def test_headings_on_the_edge_of_an_octant(spark):
+    points = spark.range(0, 360, 5).selectExpr("'A' as ship_name", "cast(22 + id * 0.01 as double) as lat", "113e0 as lon", "cast(id as double) as course", "'waypoint' as type")
+    found = cluster.grid_clusters(nodes.grid_nodes(points)).select("lat", "heading", "co").collect()
+    s, c = "sin(radians(k::double))", "cos(radians(k::double))"
+    want = dict(duckdb.sql(f"select k, (degrees(atan2({s}, {c})) + 360e0) % 360e0 from range(0, 360, 5) t(k)").fetchall())
+    got = {round((r["lat"] - 22) * 100): (r["heading"], r["co"]) for r in found}
+    assert got == {k: (h, int(h // 45) % 8) for k, h in want.items()}
+
+
 def test_refine_without_large_clusters(spark):
     c = spark.createDataFrame([(1, 22.0, 113.0, "waypoint", 3, 1, 1)], "node_id long, lat double, lon double, type string, frequency long, ship_count long, node_count long")
     assert cluster.refine(c).count() == 1
