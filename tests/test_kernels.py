@@ -13,6 +13,7 @@ from fairway.config import SHIP_TEMPLATES, Settings
 from fairway.functions import geo
 from fairway.operators import clean, cluster, graph, grid, kernels, motion, nodes, routing, ships, topology, weights
 from fairway.operators.router import Network, diverse, dominates
+from fairway.session import written
 
 POINTS = "ship_name string, us long, row_idx long, lat double, lon double, speed double, course double"
 
@@ -295,6 +296,26 @@ def test_grid_joins_against_all_pairs(spark):
     assert pairs == {(i, k) for i, a, o in map(tuple, q.collect()) for k, b, p in places if float(kernels.haversine(a, o, b, p)) < 150.0}
 
 
+def dense_graph():
+    r = random.Random(8)
+    return {(a, b): (float(r.randrange(1, 99)), r.randrange(9)) for a in range(9) for b in range(9) if a != b and r.random() < 0.5}
+
+
+def test_request_paths_carry_sums_and_store_only_beginnings(spark, monkeypatch):
+    e = dense_graph()
+    edges = spark.createDataFrame([(*k, *x) for k, x in e.items()], "u long, v long, d double, n long")
+    asked = spark.createDataFrame([(1, 0, 8), (2, 5, 1), (3, 4, 8), (4, 3, 3)], "request_id long, start long, goal long")
+    net = Network({k: {} for k in e})
+    for cutoff in (1, 2, 6):
+        stored = []
+        monkeypatch.setattr(routing, "written", lambda df, name: stored.append(name) or written(df, name))
+        got = routing.request_paths(edges, asked, cutoff, ("d", "n"))
+        assert stored.count("paths") == max(1, cutoff - routing.TAIL)
+        rows = sorted((r["request_id"], r["path"], r["path_id"], r["hops"], r["d"], r["n"]) for r in got.collect())
+        want = [(i, p) for i, a, b in ((1, 0, 8), (2, 5, 1), (3, 4, 8)) for p in net.simple(a, b, cutoff)]
+        assert rows == sorted((i, p, "-".join(map(str, p)), len(p) - 1, sum(e[x][0] for x in itertools.pairwise(p)), sum(e[x][1] for x in itertools.pairwise(p))) for i, p in want)
+
+
 def test_headings_on_the_edge_of_an_octant(spark):
     points = spark.range(0, 360, 5).selectExpr("'A' as ship_name", "cast(22 + id * 0.01 as double) as lat", "113e0 as lon", "cast(id as double) as course", "'waypoint' as type")
     found = cluster.grid_clusters(nodes.grid_nodes(points)).select("lat", "heading", "co").collect()
