@@ -316,6 +316,18 @@ def test_request_paths_carry_sums_and_store_only_beginnings(spark, monkeypatch):
         assert rows == sorted((i, p, "-".join(map(str, p)), len(p) - 1, sum(e[x][0] for x in itertools.pairwise(p)), sum(e[x][1] for x in itertools.pairwise(p))) for i, p in want)
 
 
+def test_totals_of_paths_need_no_rows_for_edges(spark):
+    e = dense_graph()
+    edges = spark.createDataFrame([(*k, x[0], x[0] / 7, 30.0 + x[1], x[1]) for k, x in e.items()], "u long, v long, distance double, time double, risk double, frequency long")
+    asked = spark.createDataFrame([(1, 0, 8)], "request_id long, start long, goal long")
+    paths = routing.request_paths(edges, asked, 6, ("distance", "time", "risk", "frequency"))
+    got = routing.totals(paths.withColumnRenamed("hops", "n_edges"))
+    names = ["path_id", "n_edges", "distance", "time", "risk", "frequency", "avg_speed", "safety"]
+    plain = lambda t: {r[0]: pytest.approx(tuple(r[1:])) for r in t.select(*names).collect()}
+    assert plain(got) == {k: v.expected for k, v in plain(routing.path_totals(paths.select("path_id", "path"), edges)).items()}
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_headings_on_the_edge_of_an_octant(spark):
     points = spark.range(0, 360, 5).selectExpr("'A' as ship_name", "cast(22 + id * 0.01 as double) as lat", "113e0 as lon", "cast(id as double) as course", "'waypoint' as type")
     found = cluster.grid_clusters(nodes.grid_nodes(points)).select("lat", "heading", "co").collect()
