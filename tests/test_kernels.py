@@ -328,6 +328,20 @@ def test_totals_of_paths_need_no_rows_for_edges(spark):
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pareto_of_many_rows(spark):
+    rows = spark.range(150_000).selectExpr("id", "id % 2 as g", "cast(floor(1000 * rand(3)) as double) as a", "cast(floor(1000 * rand(4)) as double) as b").unionByName(spark.sql("select 150000L as id, 0L as g, cast(null as double) as a, 0e0 as b"))
+    rows = spark.createDataFrame(rows.toPandas().astype(object).where(lambda x: x.notna(), None), rows.schema)
+    got = {r["id"] for r in routing.pareto(rows, "id", ["a", "b"], "g").collect()}
+    want = set()
+    for g in (0, 1):
+        least = {}
+        for r in rows.where(f"g = {g} and a is not null").groupBy("a").agg(F.min("b").alias("b")).orderBy("a").collect():
+            if r["b"] < min(least.values(), default=math.inf):
+                least[r["a"]] = r["b"]
+        want |= {r["id"] for r in rows.where(f"g = {g}").collect() if r["a"] is None or least.get(r["a"]) == r["b"]}
+    assert got == want and len(want) > 2
+
+
 def test_headings_on_the_edge_of_an_octant(spark):
     points = spark.range(0, 360, 5).selectExpr("'A' as ship_name", "cast(22 + id * 0.01 as double) as lat", "113e0 as lon", "cast(id as double) as course", "'waypoint' as type")
     found = cluster.grid_clusters(nodes.grid_nodes(points)).select("lat", "heading", "co").collect()
