@@ -342,6 +342,16 @@ def test_pareto_of_many_rows(spark):
     assert got == want and len(want) > 2
 
 
+def test_recommend_puts_no_request_in_order(spark):
+    options = spark.range(1000).selectExpr("id % 3 as request_id", "concat('p', id) as option", "if(id % 5 = 0, 'FREQUENT', 'FASTEST') as path_type", "cast(id % 17 + 1 as double) as distance", "cast(id % 13 + 1 as double) as time", "60e0 as safety")
+    got = routing.recommend(options)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in got.collect():
+        found.setdefault(r["request_id"], []).append((-round(r["score"], 9), r["option"], r["is_recommended"]))
+    assert all([x[2] for x in sorted(v)] == [True] + [False] * (len(v) - 1) for v in found.values())
+
+
 def test_headings_on_the_edge_of_an_octant(spark):
     points = spark.range(0, 360, 5).selectExpr("'A' as ship_name", "cast(22 + id * 0.01 as double) as lat", "113e0 as lon", "cast(id as double) as course", "'waypoint' as type")
     found = cluster.grid_clusters(nodes.grid_nodes(points)).select("lat", "heading", "co").collect()
