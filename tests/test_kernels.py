@@ -1,6 +1,7 @@
 """Sequential kernels and column functions against hand-made cases and brute force."""
 
 import itertools
+import json
 import math
 import random
 
@@ -350,6 +351,10 @@ def test_recommend_puts_no_request_in_order(spark):
     for r in got.collect():
         found.setdefault(r["request_id"], []).append((-round(r["score"], 9), r["option"], r["is_recommended"]))
     assert all([x[2] for x in sorted(v)] == [True] + [False] * (len(v) - 1) for v in found.values())
+    chosen = {r["request_id"]: (r["recommended"]["option"], r["comparison_summary"]["n_options"]) for r in routing.decided(options).collect()}
+    assert chosen == {k: (min(v)[1], len(v)) for k, v in found.items()}
+    whole = {r["request_id"]: json.loads(r["document"]) for r in routing.decisions(options).collect()}
+    assert {k: (d["recommended"]["option"], len(d["alternatives"]) + 1) for k, d in whole.items()} == chosen
 
 
 def test_headings_on_the_edge_of_an_octant(spark):
