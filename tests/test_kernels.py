@@ -357,6 +357,15 @@ def test_recommend_puts_no_request_in_order(spark):
     assert {k: (d["recommended"]["option"], len(d["alternatives"]) + 1) for k, d in whole.items()} == chosen
 
 
+def test_points_of_paths_in_rows_and_in_lines(spark):
+    places = spark.createDataFrame([(i, 20.0 + i, 110.0 - i) for i in range(4)], "node_id long, lat double, lon double")
+    paths = spark.createDataFrame([("a", [2, 0, 3]), ("b", [1, 2])], "path_id string, path array<long>")
+    points = routing.route_points(paths, places)
+    assert sorted(map(tuple, points.collect())) == [("a", 0, 108.0, 22.0), ("a", 1, 110.0, 20.0), ("a", 2, 107.0, 23.0), ("b", 0, 109.0, 21.0), ("b", 1, 108.0, 22.0)]
+    assert "Aggregate" not in points._jdf.queryExecution().executedPlan().toString()
+    assert {r[0]: r[1] for r in routing.route_lines(paths, places).collect()} == {"a": [[108.0, 22.0], [110.0, 20.0], [107.0, 23.0]], "b": [[109.0, 21.0], [108.0, 22.0]]}
+
+
 def test_headings_on_the_edge_of_an_octant(spark):
     points = spark.range(0, 360, 5).selectExpr("'A' as ship_name", "cast(22 + id * 0.01 as double) as lat", "113e0 as lon", "cast(id as double) as course", "'waypoint' as type")
     found = cluster.grid_clusters(nodes.grid_nodes(points)).select("lat", "heading", "co").collect()
