@@ -366,6 +366,15 @@ def test_points_of_paths_in_rows_and_in_lines(spark):
     assert {r[0]: r[1] for r in routing.route_lines(paths, places).collect()} == {"a": [[108.0, 22.0], [110.0, 20.0], [107.0, 23.0]], "b": [[109.0, 21.0], [108.0, 22.0]]}
 
 
+def test_page_figures_from_sums(spark):
+    edges = spark.createDataFrame([(0, 1), (1, 2)], "u long, v long")
+    features = spark.createDataFrame([(0, 1, 2000.0, 600.0, 2, "narrow")], "u long, v long, avg_distance double, avg_travel_time double, segment_count long, waterway_type string")
+    w = routing.web_edges(edges, features)
+    assert sorted(map(tuple, w.collect())) == [(0, 1, 2.0, 10.0, 55), (1, 2, 0.5, 0.5, 40)]
+    asked = spark.createDataFrame([(1, 0, 2)], "request_id long, start long, goal long")
+    assert [tuple(r) for r in routing.web_stats(routing.request_paths(w, asked, 6, ("km", "minutes", "risk"))).collect()] == [("0-1-2", 2.5, 10.5, 7.71, 47.5, 52.5, 2)]
+
+
 def test_headings_on_the_edge_of_an_octant(spark):
     points = spark.range(0, 360, 5).selectExpr("'A' as ship_name", "cast(22 + id * 0.01 as double) as lat", "113e0 as lon", "cast(id as double) as course", "'waypoint' as type")
     found = cluster.grid_clusters(nodes.grid_nodes(points)).select("lat", "heading", "co").collect()
