@@ -41,6 +41,7 @@ from .text import Words, buffers, grams, slices, sliding, starts_inside
 
 WINDOW, GRAM = 20, 8
 SLICE = 1 << 18
+BATCH_BYTES = 4 << 20  # of Arrow; slices are far smaller
 MERGE_RUNS = 4
 BATCHES = 5
 NO_ID = -(1 << 63)  # stands for a null doc_id, and comes first
@@ -194,7 +195,7 @@ class WindowIndex:
             lo = F.least("lo", *(f"lo{i}" for i in count)) if self.runs else F.col("lo")
             hi = F.greatest("hi", *(f"hi{i}" for i in count)) if self.runs else F.col("hi")
             total = sum((F.coalesce(f"n{i}", F.lit(0)) for i in count), F.col("n"))
-            found = written(new.where(lo != hi).select("h", total.alias("n")), "found")
+            found = written(new.where(lo != hi).select("h", total.alias("n")).hint("rebalance", "h"), "found")  # else a file for each bucket
         finally:
             self.spark.conf.set(key, before)
         self.runs.append(name)
@@ -251,7 +252,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     would arrive; each part is joined with the runs of those before it.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_BYTES)
     rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     several = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
     rows = rows.withColumn("text_key", F.hash("text") if several else F.lit(0))

@@ -333,6 +333,14 @@ def test_window_index_batch_by_batch(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(index.name)]
 
 
+def test_window_index_gives_few_files(spark):
+    index = substrings.WindowIndex(spark)
+    for batch in range(3):
+        found = index.add(spark.createDataFrame([(h, batch, h) for h in range(200)], "h long, text_hash long, at int"))
+    assert found.count() == 200 and len(found.inputFiles()) == 1
+    index.drop()
+
+
 # 5 --------------------------------------------------------------------------
 
 
