@@ -10,7 +10,7 @@ the older ones again, and gives the anchors that have now been seen at two place
 are compacted into one. Copies of a text hold the same places, so they make nothing recur.
 
 Anchors found this way name the windows that may repeat. These are verified by 128-bit BLAKE2
-digests of their words: for each the first place (smallest doc_id, then start) is kept by a
+digests of their words, once a document: for each the first place (smallest doc_id, then start) is kept by a
 partial and a final minimum, so a passage shared by a third of all documents never meets in one
 task, and places of very common anchors are spread over tasks. Every candidate window that is not
 such a first place repeats, and its words go.
@@ -97,6 +97,17 @@ def _candidates(words: Words, row: int, places: np.ndarray) -> np.ndarray:
     return np.unique(starts[low[starts] == g[owner]])
 
 
+def _first_of_each(row: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Where each digest of a row stands first."""
+    order = np.lexsort((digest[:, 1], digest[:, 0], row))  # stable
+    if not len(order):
+        return order
+    r, d = row[order], digest[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (r[1:] != r[:-1]) | (d[1:] != d[:-1]).any(axis=1)
+    return np.sort(order[new])
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = buffers(b.column("text"))
@@ -114,6 +125,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin = np.concatenate([[0], np.cumsum(words.end - words.start + 1)])  # of each word among the joined ones
             spans = zip(begin[at].tolist(), (begin[at + WINDOW] - 1).tolist(), strict=True)
             digest = np.frombuffer(b"".join(hashlib.blake2b(joined[x:y], digest_size=16).digest() for x, y in spans), dtype=np.int64).reshape(-1, 2)
+            first = _first_of_each(row, digest)
+            digest, row, start = digest[first], row[first], start[first]
             yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(ids[lo + row]), pa.array(keys[lo + row]), pa.array(start.astype(np.int32))], names=["d1", "d2", "doc_id", "text_key", "start"])
 
 
@@ -263,7 +276,12 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         write(places, places_at)
     places, copies = spark.read.parquet(places_at), spark.read.parquet(copies_at)
     windows = rows.join(places, key).mapInArrow(_window_rows, "d1 long, d2 long, doc_id long, text_key int, start int")
-    firsts = windows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("head")).select("head.*").groupBy(*key).agg(F.collect_list("start").alias("firsts"))
+    same = windows.groupBy("d1", "d2")
+    if several:
+        heads = same.agg(F.min(F.struct(*key, "start")).alias("head")).select("head.*")
+    else:  # two minima need no sort, and a document has a window once
+        heads = same.agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start")).withColumn("text_key", F.lit(0))
+    firsts = heads.groupBy(*key).agg(F.collect_list("start").alias("firsts"))
     small = written(places.join(firsts, key, "left").unionByName(copies.select(*key), allowMissingColumns=True).join(copies, key, "left"), "marks")
     every = rows.join(small, key, "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text", F.coalesce("is_copy", F.lit(False)).alias("is_copy"), "places", "firsts")
     return every.mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

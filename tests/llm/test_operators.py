@@ -333,6 +333,16 @@ def test_window_index_batch_by_batch(spark):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(index.name)]
 
 
+def test_windows_stand_once_a_document():
+    import pyarrow as pa
+
+    say = " ".join(map(str, range(25)))
+    places = pa.array([list(range(60))] * 3, pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 0, 0], pa.int32()), pa.array([say + " " + say, say, "few words"]), places], names=["doc_id", "text_key", "text", "places"])
+    got = [(r["doc_id"], r["start"]) for b in substrings._window_rows(iter([batch])) for r in b.to_pylist()]
+    assert got == [(1, s) for s in range(25)] + [(2, s) for s in range(6)]
+
+
 def test_window_index_gives_few_files(spark):
     index = substrings.WindowIndex(spark)
     for batch in range(3):
