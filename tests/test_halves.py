@@ -84,3 +84,53 @@ def test_skyline_of_a_graph_with_too_many_paths():
     g = graph_of(e)
     found = {tuple(g.sums(p).tolist()) for p in halves.skyline(g, 0, 149, 12, [0, 1], 1e-5)}
     assert {c for c in found if not any(o != c and o[0] <= c[0] and o[1] <= c[1] for o in found)} == front[149]
+
+
+def test_number_of_paths_of_a_full_graph():
+    g = graph_of({(a, b): (1.0,) for a in range(14) for b in range(14) if a != b})
+    h = halves.Halves(g, 0, 13, 12)
+    found = sum(halves.count(p, g.n) for m in h.middles() if (p := h.parts(m)) is not None)
+    assert found == sum(math.perm(12, k) for k in range(12)) > 8 * 10**8
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 1 << 18])
+def test_number_and_extremes_are_those_of_all_paths(monkeypatch, pairs):
+    monkeypatch.setattr(halves, "PAIRS", pairs)
+    monkeypatch.setattr(halves, "BLOCK", 50)
+    r = random.Random(pairs)
+    for n, share, cutoff in ((8, 0.6, 1), (8, 0.6, 2), (8, 0.6, 5), (9, 0.5, 8), (10, 0.3, 12)):
+        e = weighted(r, n, share)
+        g = graph_of(e)
+        if g.at(0) is None or g.at(n - 1) is None:
+            continue
+        paths = [tuple(p) for p in simple(e, 0, n - 1, cutoff)]
+        sums = {p: np.sum([e[x] for x in itertools.pairwise(p)], axis=0) for p in paths}
+        h = halves.Halves(g, 0, g.at(n - 1), cutoff)
+        time, risk, near = halves.Most(), halves.Most(), halves.Most(1.5)
+        bonus = lambda s, edges, kinds: s[:, 0] + 2 * s[:, 1] / edges + (3 if sum(kinds) % 2 == 0 else 0)
+        total = 0
+        for m in h.middles():
+            if (parts := h.parts(m)) is not None:
+                total += halves.count(parts, g.n)
+                halves.look(parts, time, lambda s, edges, kinds: s[:, 1])
+                halves.look(parts, risk, lambda s, edges, kinds: -s[:, 2] / edges)
+                halves.look(parts, near, bonus, lambda s: s[:, 3].astype(int) % 2)
+        assert total == len(paths)
+        if paths:
+            assert time.value == max(x[1] for x in sums.values()) == sums[tuple(g.ids[time.found[0][1]].tolist())][1]
+            assert -risk.value == pytest.approx(min(x[2] / (len(p) - 1) for p, x in sums.items()))
+            score = {p: x[0] + 2 * x[1] / (len(p) - 1) + (3 if x[3] % 2 == 0 else 0) for p, x in sums.items()}
+            assert sorted(tuple(g.ids[p].tolist()) for _, p in near.found) == sorted(p for p, x in score.items() if x >= max(score.values()) - 1.5)
+
+
+def test_summary_lists_no_paths(spark, monkeypatch):
+    e = weighted(random.Random(7), 9, 0.5)
+    asked = spark.createDataFrame([(1, 0, 8), (2, 5, 1), (3, 4, 4), (4, 0, 99)], "request_id long, start long, goal long")
+    edges = table(spark, e)
+    every = catalogue._options(routing.request_paths(edges, asked, 6, SUMS))
+    aims = [routing.Aim(lambda s, n, k, j=j, sign=sign: sign * s[:, j] / (n if j == 2 else 1)) for j in (0, 1, 2) for sign in (1, -1)]
+    for limit in (1, 200_000):
+        monkeypatch.setattr(routing, "IN_TASK", limit)
+        few = catalogue._options(routing.searched_paths(edges, asked, 6, SUMS, lambda r: aims, counted=True))
+        assert sorted(map(tuple, routing.comparison(few, "n").collect())) == sorted(map(tuple, routing.comparison(every).collect()))
+    assert without_paths(monkeypatch, spark, "comparison_summary") > 0
