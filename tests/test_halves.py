@@ -134,3 +134,18 @@ def test_summary_lists_no_paths(spark, monkeypatch):
         few = catalogue._options(routing.searched_paths(edges, asked, 6, SUMS, lambda r: aims, counted=True))
         assert sorted(map(tuple, routing.comparison(few, "n").collect())) == sorted(map(tuple, routing.comparison(every).collect()))
     assert without_paths(monkeypatch, spark, "comparison_summary") > 0
+
+
+def test_decision_lists_no_paths(spark, monkeypatch):
+    e = weighted(random.Random(9), 9, 0.5)
+    asked = spark.createDataFrame([(1, 0, 8), (2, 5, 1)], "request_id long, start long, goal long")
+    edges = table(spark, e)
+    every = catalogue._options(routing.request_paths(edges, asked, 6, SUMS))
+    worst = {r[0]: (r[1], r[2]) for r in every.groupBy("request_id").agg(F.max("time"), F.max("distance")).collect()}
+    near = catalogue._options(routing.searched_paths(edges, asked, 6, SUMS, lambda r: [routing.score_aim(SUMS, *worst[r])])).drop("n")
+    ends = every.join(every.groupBy("request_id").agg(F.max("time").alias("t"), F.max("distance").alias("d")), "request_id").where("time = t or distance = d").drop("t", "d")
+    assert near.count() < every.count() / 4
+    want = sorted((r["request_id"], r["recommended"]) for r in routing.decided(every).collect())
+    assert sorted((r["request_id"], r["recommended"]) for r in routing.decided(every, near.unionByName(ends)).collect()) == want
+    assert sorted(map(tuple, routing.recommend(every, near.unionByName(ends)).collect())) == sorted(map(tuple, routing.recommend(every).collect()))
+    assert without_paths(monkeypatch, spark, "decision_documents") > 0
