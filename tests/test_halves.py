@@ -149,3 +149,18 @@ def test_decision_lists_no_paths(spark, monkeypatch):
     assert sorted((r["request_id"], r["recommended"]) for r in routing.decided(every, near.unionByName(ends)).collect()) == want
     assert sorted(map(tuple, routing.recommend(every, near.unionByName(ends)).collect())) == sorted(map(tuple, routing.recommend(every).collect()))
     assert without_paths(monkeypatch, spark, "decision_documents") > 0
+
+
+def test_reading_paths_brings_no_rows_together(spark):
+    e = weighted(random.Random(11), 10, 0.3)
+    asked = spark.createDataFrame([(1, 0, 9), (2, 3, 1)], "request_id long, start long, goal long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where ends are too many to be broadcast unasked
+    try:
+        got = routing.request_paths(table(spark, e), asked, 12, SUMS)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        rows = sorted((r["request_id"], r["path"], r["hops"], r["distance"], r["frequency"]) for r in got.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = [(i, p) for i, a, b in ((1, 0, 9), (2, 3, 1)) for p in simple(e, a, b, 12)]
+    assert rows == sorted((i, p, len(p) - 1, sum(e[x][0] for x in itertools.pairwise(p)), sum(e[x][3] for x in itertools.pairwise(p))) for i, p in want)
